@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.llm import bpe_automaton, mixing, quality
+from resgraph.llm import bitplane, bpe_automaton, mixing, quality, token_counts
 from resgraph.llm.common import prepare, table
 
 
@@ -16,6 +16,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,6 +29,11 @@ def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op6_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bitplane.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -33,7 +44,9 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_token_counts": op3_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_bitplane": op6_bitplane,
     "op7_quality_ledger": op7_quality_ledger,
 }
 
