@@ -6,10 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.llm import bitplane, bpe_automaton, mixing, quality, token_counts
+from resgraph.llm import bitplane, bpe_automaton, langid, mixing, quality, token_counts, url_rules
 from resgraph.llm.common import prepare, table
 
 
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.mine(url_rules.labelled(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, rules).withColumnRenamed("id", "page_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -42,12 +48,23 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *measures, (~quality.passes(bits, "v1")).alias("base_failed"), quality.passes(bits, "v2").alias("kept"), bits.alias("fail_bits"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.remainder(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.where(~held_out))
+    found = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
+
+
 QUERIES = {
+    "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_bitplane": op6_bitplane,
     "op7_quality_ledger": op7_quality_ledger,
+    "op10_langid": op10_langid,
 }
 
 OP7_SQL = r"""
