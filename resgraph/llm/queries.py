@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.llm import bitplane, bpe_automaton, langid, mixing, quality, token_counts, url_rules
+from resgraph.llm import bitplane, bpe_automaton, hamming_join, langid, mixing, quality, token_counts, url_rules
 from resgraph.llm.common import prepare, table
 
 
@@ -48,6 +48,12 @@ def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *measures, (~quality.passes(bits, "v1")).alias("base_failed"), quality.passes(bits, "v2").alias("kept"), bits.alias("fail_bits"))
 
 
+def op8_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = hamming_join.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -64,6 +70,7 @@ QUERIES = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_bitplane": op6_bitplane,
     "op7_quality_ledger": op7_quality_ledger,
+    "op8_hamming_join": op8_hamming_join,
     "op10_langid": op10_langid,
 }
 
