@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.llm import bitplane, bpe_automaton, hamming_join, langid, mixing, quality, token_counts, url_rules
+from resgraph.llm import bitplane, bpe_automaton, hamming_join, hnsw, langid, mixing, quality, token_counts, url_rules
 from resgraph.llm.common import prepare, table
 
 
@@ -28,6 +28,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,6 +73,7 @@ QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
     "op3_token_counts": op3_token_counts,
+    "op4_hnsw": op4_hnsw,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_bitplane": op6_bitplane,
     "op7_quality_ledger": op7_quality_ledger,
