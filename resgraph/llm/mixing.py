@@ -61,32 +61,33 @@ def fly(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
     pi = pi.copy()
     order = np.argsort(-size, kind="stable")
     open_ = order[(pi[order] > EPS) & (pi[order] < 1 - EPS)]
-    scale = max(1.0, float(size.max(initial=1)))
+    pi[(pi <= EPS)], pi[(pi >= 1 - EPS)] = 0, 1
     while len(open_) > 1:
-        a = np.stack([size[open_] / scale, np.ones(len(open_))])
-        gram = a @ a.T
-        if abs(gram[0, 0] * gram[1, 1] - gram[0, 1] ** 2) < 1e-9 * max(gram[0, 0] * gram[1, 1], 1e-12):
-            a = a[1:]  # equal sizes: one constraint says it all
-            gram = a @ a.T
-        if len(open_) <= len(a):
+        off = size[open_] - size[open_].mean()  # orthogonal to the constraint on numbers
+        norm = float(off @ off)
+        varied = norm > 1e-9 * max(1.0, float(size[open_[0]]) ** 2)
+        if len(open_) <= 1 + varied:
             break
-        u = -a.T @ np.linalg.solve(gram, a[:, 0])
-        u[0] += 1.0
+        for lead in range(len(open_)):  # almost always the first; a lone odd size can't move
+            u = np.full(len(open_), -1.0 / len(open_))
+            if varied:
+                u -= off * (off[lead] / norm)
+            u[lead] += 1.0
+            if u[lead] > 1e-9:
+                break
         p = pi[open_]
-        near = np.abs(u) > 1e-12
-        if not near.any():
-            break
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ahead = np.min(np.where(u > 1e-12, (1 - p) / u, np.where(u < -1e-12, -p / u, np.inf)))
-            back = np.min(np.where(u > 1e-12, p / u, np.where(u < -1e-12, (p - 1) / u, np.inf)))
-        step = ahead if rng.random() * (ahead + back) < back else -back
-        p = np.clip(p + step * u, 0, 1)
+        up, down = u > 1e-12, u < -1e-12
+        safe = np.where(up | down, u, 1.0)
+        ahead = np.where(up, (1 - p) / safe, np.where(down, -p / safe, np.inf))
+        back = np.where(up, p / safe, np.where(down, (p - 1) / safe, np.inf))
+        first, last = int(ahead.argmin()), int(back.argmin())
+        onward = rng.random() * (ahead[first] + back[last]) < back[last]
+        stop = first if onward else last
+        p = np.clip(p + (ahead[first] if onward else -back[last]) * u, 0, 1)
+        p[stop] = np.round(p[stop])
         p[p < EPS], p[p > 1 - EPS] = 0, 1
-        hit = (p == 0) | (p == 1)
-        if not hit.any():
-            break
         pi[open_] = p
-        open_ = open_[~hit]
+        open_ = open_[(p > 0) & (p < 1)]
     return pi
 
 
