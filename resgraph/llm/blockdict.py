@@ -24,7 +24,8 @@ from resgraph.llm.common import staged
 BLOCK_CHARS = 12_000_000
 BUCKET_BYTES = 12 << 20  # of input to a bucket
 SCHEMA = "block long, bucket int, tokens binary, counts binary"
-VALUES = "block long, bucket int, values binary, n_types long, n_counted long"
+VALUES = "block long, bucket int, values binary, n_types long, n_counted long, top array<struct<token: string, n: long>>, bands array<long>"
+BANDS = 64  # counts by bit length
 _squeeze = zstandard.ZstdCompressor(level=3).compress
 _spread = zstandard.decompress
 
@@ -64,11 +65,12 @@ def buckets(docs: DataFrame) -> int:
     return max(least, size // BUCKET_BYTES) if size < 1 << 55 else least
 
 
-def blocks(docs: DataFrame, split: Callable[[str], Iterable[str]], n_buckets: int, counted: Callable[[int | None], bool] = lambda i: False, extra: Callable[[str], int] = len) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[str], Iterable[str]], n_buckets: int, counted: Callable[[int | None], bool] = lambda i: False, extra: Callable[[str], int] = len, ordered: bool = False) -> DataFrame:
     """The block table of docs (id long, text string).
 
     Rows with bucket >= 0 hold a block's tokens in it, with how often counted documents have each; the row with bucket -1
-    holds the documents: ids, ``extra`` of the text, tokens of each (distinct), token numbers as gaps, frequencies.
+    holds the documents: ids, ``extra`` of the text, tokens of each (distinct), token numbers as gaps, frequencies; or, ordered,
+    the tokens of each and their numbers in order of the text.
     """
 
     def block(part: list[tuple[int | None, str]], number: int) -> pa.RecordBatch:
@@ -93,6 +95,8 @@ def blocks(docs: DataFrame, split: Callable[[str], Iterable[str]], n_buckets: in
         mass = np.bincount(t_of, weights=n * is_counted[d_of], minlength=len(names)).astype(np.int64)
         bounds = np.searchsorted(where[order], np.arange(n_buckets + 1))
         counts = [pack(np.bincount(d_of, minlength=len(part))), pack(gap), pack(n)]
+        if ordered:
+            counts = [pack(np.array([len(t) for t in tok], np.int64)), pack(rank[np.concatenate(tok)] if len(names) else key)]
         rows = [(number, -1, _head(part, extra), b"".join(len(c).to_bytes(4, "little") + c for c in counts))]
         named = [names[i] for i in order]
         for b in range(n_buckets):
@@ -124,10 +128,11 @@ def _head(part: list[tuple[int | None, str]], extra: Callable[[str], int]) -> by
     return len(part).to_bytes(4, "little") + _squeeze(ids.tobytes() + none.tobytes() + np.array([extra(t) for _, t in part], "<i8").tobytes())
 
 
-def resolve(table: DataFrame, value: Callable[[list[str], np.ndarray], np.ndarray]) -> DataFrame:
+def resolve(table: DataFrame, value: Callable[[list[str], np.ndarray], np.ndarray] | None, top: int = 0) -> DataFrame:
     """Once for each distinct token: value(tokens, counts over counted documents), sent back to every block that has it.
 
-    n_types and n_counted, on one row a bucket, sum up its tokens with a count and their counts.
+    On one row a bucket, n_types and n_counted sum up its tokens with a count and their counts, bands has the counts by
+    bit length of the count, and top has its ``top`` most frequent tokens. Without value, only these.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -138,16 +143,21 @@ def resolve(table: DataFrame, value: Callable[[list[str], np.ndarray], np.ndarra
             mine.append(np.array([code.setdefault(t, len(code)) for t in unpack_tokens(tokens)], np.int64))
             mass.append(unpack(counts))
         total = np.bincount(np.concatenate(mine), weights=np.concatenate(mass), minlength=len(code)).astype(np.int64)
-        found = np.asarray(value(list(code), total), np.int64)
-        out = pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "values": [pack(found[m]) for m in mine], "n_types": 0, "n_counted": 0})
-        out.loc[0, ["n_types", "n_counted"]] = [int((total > 0).sum()), int(total.sum())]
+        bands = np.bincount([int(x).bit_length() for x in total], weights=total, minlength=BANDS).astype(np.int64).tolist()
+        names = list(code)
+        best = sorted(zip((-total).tolist(), names, strict=True))[:top] if top else []
+        first = {"n_types": int((total > 0).sum()), "n_counted": int(total.sum()), "top": [{"token": t, "n": -c} for c, t in best if c], "bands": bands}
+        if value is None:
+            return pd.DataFrame([{"block": 0, "bucket": int(group["bucket"].iloc[0]), "values": b"", **first}])
+        found = np.asarray(value(names, total), np.int64)
+        out = pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "values": [pack(found[m]) for m in mine], "n_types": 0, "n_counted": 0, "top": None, "bands": None})
         return out
 
     return table.where("bucket >= 0").groupBy("bucket").applyInPandas(run, VALUES)
 
 
-def finish(table: DataFrame, values: DataFrame, sums: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
-    """(id, extra, columns of schema): sums(values of the occurrences listed, document of each, frequency, documents)."""
+def finish(table: DataFrame, values: DataFrame, make: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """For each block, make(frame of id and extra, value of each token listed, its document's row, its frequency)."""
     head = table.where("bucket < 0").select("block", "bucket", F.col("tokens").alias("a"), F.col("counts").alias("b"))
     both = head.unionByName(values.select("block", "bucket", F.col("values").alias("a"), F.lit(None).cast("binary").alias("b")))
 
@@ -162,17 +172,16 @@ def finish(table: DataFrame, values: DataFrame, sums: Callable[..., list[np.ndar
             k = int.from_bytes(packed[:4], "little")
             parts.append(unpack(packed[4 : 4 + k]))
             packed = packed[4 + k :]
-        per, gap, freq = parts
         value = np.concatenate([unpack(v) for v in data[1:]]) if len(data) > 1 else np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(n), per)
-        run_ = np.cumsum(gap)
-        start = np.cumsum(per) - per
-        base = np.where(per > 0, run_[np.minimum(start, max(0, len(gap) - 1))] - gap[np.minimum(start, max(0, len(gap) - 1))], 0) if len(gap) else np.zeros(n, np.int64)
-        token = run_ - np.repeat(base, per)
-        out = pd.DataFrame({"id": pd.Series(ids, dtype="Int64").mask(none.astype(bool)), "extra": extra})
-        for name, column in zip(names, sums(value[token], doc, freq, n), strict=True):
-            out[name] = column
-        return out
-
-    names = [c.split()[0] for c in schema.split(",")]
-    return both.groupBy("block").applyInPandas(run, f"id long, extra long, {schema}")
+        doc = np.repeat(np.arange(n), parts[0])
+        if len(parts) == 2:
+            token, freq = parts[1], np.ones(len(parts[1]), np.int64)
+        else:
+            per, gap, freq = parts
+            runs, first = np.cumsum(gap), (np.cumsum(per) - per)[per > 0]
+            base = np.zeros(n, np.int64)
+            base[per > 0] = (runs - gap)[first]
+            token = runs - base[doc]
+        return make(pd.DataFrame({"id": pd.Series(ids, dtype="Int64").mask(none.astype(bool)), "extra": extra}), value[token], doc, freq)
+
+    return both.groupBy("block").applyInPandas(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.llm import bitplane, bpe_automaton, hamming_join, hnsw, langid, mixing, quality, token_counts, url_rules
+from resgraph.llm import bitplane, bpe_automaton, gru_lm, hamming_join, hnsw, langid, mixing, quality, token_counts, url_rules
 from resgraph.llm.common import prepare, table
 
 
@@ -60,6 +60,11 @@ def op8_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return gru_lm.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_bitplane": op6_bitplane,
     "op7_quality_ledger": op7_quality_ledger,
     "op8_hamming_join": op8_hamming_join,
+    "op9_gru_lm": op9_gru_lm,
     "op10_langid": op10_langid,
 }
 

@@ -7,6 +7,7 @@ not read. Very long texts are one block of their own.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str
         coder = byte_bpe(vocabulary)
         return np.fromiter(map(coder.count, tokens), np.int64, len(tokens))
 
-    def sums(value: np.ndarray, doc: np.ndarray, freq: np.ndarray, n: int) -> list[np.ndarray]:
-        return [np.bincount(doc, weights=value * freq, minlength=n).astype(np.int64)]
+    def sums(docs: pd.DataFrame, value: np.ndarray, doc: np.ndarray, freq: np.ndarray) -> pd.DataFrame:
+        return docs.assign(n_tokens=np.bincount(doc, weights=value * freq, minlength=len(docs)).astype(np.int64))
 
-    out = blockdict.finish(table, blockdict.resolve(table, pieces), sums, "n_tokens long")
+    out = blockdict.finish(table, blockdict.resolve(table, pieces), sums, "id long, extra long, n_tokens long")
     return out.select("id", F.col("extra").alias("n_bytes"), "n_tokens")
