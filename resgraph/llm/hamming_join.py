@@ -12,7 +12,8 @@ the nearest untested class of every other component, round after round, until no
 join two components. Every link counts that could change a component, and every link is confirmed on the full sets.
 
 Sets hold 48 bits of each shingle's hash. Null, empty and blank texts have no shingles and stay alone. Fewer words than a
-shingle has make one shingle of all. Repeated rows (same id and text) get the same component. Extra columns aren't read.
+shingle has make one shingle of all. Rows with a null id link with nothing and have a null
+component. Repeated rows (same id and text) get the same component. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     """(id, n_shingles, component_id): component_id is the least id reachable by links of similarity threshold or more."""
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketch = staged(rows.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, sig binary"), "sketches")
-    classes = staged(sketch.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
+    classes = staged(sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     own = sketch.join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "id")
     own = own.where("d1 = c1 and d2 = c2").groupBy(F.col("id").alias("rep")).agg(F.first("sig").alias("sig"))
     sig = staged(own, "signatures")
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         more = staged(_rest(members, comp, tested, sig), "pairs")
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = sketch.join(staged(named, "classes"), ["d1", "d2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
 
 
 def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame) -> DataFrame:

@@ -147,6 +147,7 @@ def taken(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies say."""
     name = "_copies_of_row"
     rows = mix(docs, id=id, **how).groupBy(F.col("id").alias(name)).agg(F.sort_array(F.collect_list("copies")).alias("k"))
-    one = docs.withColumn("_nth", F.row_number().over(Window.partitionBy(F.col(f"`{id}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
-    joined = one.join(rows, F.col(f"`{id}`").eqNullSafe(F.col(name)))
-    return joined.withColumn("_row", F.explode(F.sequence(F.lit(1), F.element_at("k", F.col("_nth")).cast("int") + F.lit(0)))).select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(F.col(f"`{id}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    joined = docs.withColumn("_nth_of_id", nth).join(rows.withColumnRenamed("k", "_copies"), F.col(f"`{id}`").eqNullSafe(F.col(name)))
+    joined = joined.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.element_at("_copies", F.col("_nth_of_id")).cast("int"))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
