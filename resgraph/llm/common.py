@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space: 0x20 and 0x09-0x0D; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
+FOLD_EDGES = 1_000_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -124,11 +125,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (u long, v long); component is its smallest node.
 
-    Each partition first folds its edges to a spanning forest; alternating star steps join the forests.
+    Tasks of FOLD_EDGES edges first fold them to spanning forests; where there are several, alternating star steps join
+    the forests.
     Self loops and repeated edges are harmless; nodes without edges don't appear.
     """
-    edges = edges.toDF("u", "v").where("u is not null and v is not null and u <> v")
-    held = staged(edges.mapInArrow(_forest, "u long, v long"), "forest")
+    held = staged(edges.toDF("u", "v").where("u is not null and v is not null and u <> v"), "edges")
+    parts = max(1, -(-held.count() // FOLD_EDGES))
+    raw, held = held, staged(held.repartition(parts).mapInArrow(_forest, "u long, v long"), "forest")
+    unstage(raw)
+    if parts == 1:  # one fold has seen every edge
+        tops = held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
     before = None
     while True:
         small = staged(_star(_star(held, True), False), "stars")

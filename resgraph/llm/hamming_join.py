@@ -130,27 +130,56 @@ def _keys_of(with_id: bool):
     return run
 
 
-def _near(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one key's classes: for each, the nearest untested class of every other component, within DISTANCE."""
-    group = group.sort_values("rep", kind="stable")
-    rep, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, POSITIONS)
-    side = group["side"].to_numpy()
-    two = bool((side == 1).any())
-    failed = [set(f) if f is not None else () for f in group["failed"]]
-    rows = []
-    for i in range(len(rep)):
-        if two and side[i] == 1:
-            continue
-        far = (sig != sig[i]).sum(axis=1)
-        ok = np.flatnonzero((far <= DISTANCE) & (comp != comp[i]) & ((side == 1) if two else True))
-        ok = [j for j in ok[np.argsort(far[ok], kind="stable")].tolist() if rep[j] not in failed[i]]
-        seen: set[int] = set()
-        for j in ok:
-            if comp[j] not in seen:
-                seen.add(comp[j])
-                rows.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-    return pd.DataFrame(rows, columns=["a", "b"], dtype="int64").drop_duplicates()
+def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list) -> list[tuple[int, int]]:
+    """Of one key's classes: for each, the nearest untested class of every other component, within DISTANCE.
+
+    Every pair of two components has an end outside the largest one, so only those classes look around.
+    """
+    names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    two = bool(side.any())
+    look = np.flatnonzero((side == 0) if two else (at != sizes.argmax()))
+    other = np.flatnonzero(side == 1) if two else np.arange(len(rep))
+    out = []
+    for i in range(0, len(look), 64):
+        part = look[i : i + 64]
+        far = (sig[part][:, None, :] != sig[other][None, :, :]).sum(axis=2)
+        r, c = np.nonzero((far <= DISTANCE) & (comp[part][:, None] != comp[other][None, :]))
+        order = np.lexsort((rep[other[c]], far[r, c], r))
+        seen: set[tuple[int, int]] = set()
+        for x, y in zip(part[r[order]].tolist(), other[c[order]].tolist(), strict=True):
+            u, v = int(rep[x]), int(rep[y])
+            if (x, at[y]) not in seen and not (failed[x] and v in failed[x]):
+                seen.add((x, at[y]))
+                out.append((min(u, v), max(u, v)))
+    return out
+
+
+def _near(batches):
+    """_pairs of each group (key, i, j) of a partition sorted by it."""
+    names = ("key", "i", "j", "side", "rep", "comp", "sig", "failed")
+    held = None
+
+    def work(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
+        column = dict(zip(names, table.columns, strict=True))
+        rep, comp, side = (column[c].to_numpy() for c in ("rep", "comp", "side"))
+        sig = np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        failed = [set(f) if f else None for f in column["failed"].to_pylist()]
+        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y])}
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        part = pa.Table.from_batches([batch]).rename_columns(list(names))
+        table = part if held is None else pa.concat_tables([held, part])
+        code = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+        edges = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1
+        if len(edges):
+            yield work(table.slice(0, int(edges[-1])), [0, *edges.tolist()])
+            table = table.slice(int(edges[-1]))
+        held = table
+    if held is not None and held.num_rows:
+        yield work(held, [0, held.num_rows])
 
 
 def _linked(numer: int, denom: int):
@@ -229,5 +258,5 @@ def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = rows.withColumn("side", F.when((F.col("i") < F.col("j")) & (F.col("part") == F.col("j")), 1).otherwise(0))
-    near = rows.select("key", "i", "j", "side", "rep", "comp", "sig", "failed").groupBy("key", "i", "j").applyInPandas(_near, "a long, b long")
-    return near.distinct()
+    near = rows.select("key", "i", "j", "side", "rep", "comp", "sig", "failed").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return near.mapInArrow(_near, "a long, b long").distinct()
