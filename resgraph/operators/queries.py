@@ -27,7 +27,13 @@ def confidence(reasons_for: Column, reasons_against: Column) -> Column:
 class Engine:
     def __init__(self, game: Game, graph: Graph | None = None):
         self.game = game
-        self.graph = graph or Graph.of(game)
+        self._graph = graph
+
+    @property
+    def graph(self) -> Graph:
+        if self._graph is None:
+            self._graph = Graph.of(self.game)
+        return self._graph
 
     # -- lookups -----------------------------------------------------------------------------------------------------
     def matches(self, pattern: str) -> DataFrame:
