@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from resgraph.schema import Game
@@ -60,13 +62,15 @@ def _swap(sql: str, names: dict[str, str]) -> str:
 
 
 def star_game(spark: SparkSession, sf_dir: str) -> Game:
-    """The package that the star tables stand for."""
-    text = "WITH " + ", ".join(f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)" for name in _STAR)
+    """The package that the star tables stand for; its relations are kept, as every query joins them again."""
+    known = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _STAR}
     for name, sql in PROJECTION.items():
-        text += f", {name} AS ({_swap(sql, _SPARK)})"
-    return Game(**{name: spark.sql(f"{text} SELECT * FROM {name}") for name in PROJECTION})
+        used = [n for n in known if re.search(rf"(FROM|JOIN) {n}\b", sql)]
+        text = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in known else m[0], _swap(sql, _SPARK))
+        known[name] = spark.sql(text, **{n: known[n] for n in used}).persist()
+    return Game(**{name: known[name] for name in PROJECTION})
 
 
-def duck_ctes(*needed: str) -> str:
+def duck_ctes() -> str:
     """The same relations as CTEs over the star tables' views."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({_swap(sql, _DUCK)})" for name, sql in PROJECTION.items())
