@@ -18,6 +18,7 @@ Repeated rows are scored each and count each. A null id counts as empty text in
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -296,15 +297,30 @@ def fit(table: DataFrame, values: DataFrame, symbols: Symbols) -> Net:
     return net
 
 
+def _most_frequent(counted: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent tokens of all buckets: buckets' lists are merged in groups, and the groups' lists here."""
+
+    def best(lists) -> list[tuple[str, int]]:
+        every = ((-t["n"], t["token"]) for held in lists if held is not None for t in held)
+        return [(t, -n) for n, t in heapq.nsmallest(most, every)]
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"top": [[{"token": t, "n": n} for t, n in best(group["top"])]]})
+
+    groups = max(1, int(counted.count() ** 0.5))
+    rows = counted.groupBy(F.pmod("bucket", F.lit(groups)).alias("part")).applyInPandas(merge, "top array<struct<token: string, n: long>>")
+    return best(r["top"] for r in rows.collect())
+
+
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; scores are log10."""
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     table = blockdict.blocks(rows, tokens, blockdict.buckets(rows), counted=lambda i: not held_out(i), ordered=True)
-    counted = staged(blockdict.resolve(table, None, SHORT).select("n_types", "n_counted", "top", "bands"), "counts")
+    counted = staged(blockdict.resolve(table, None, SHORT).select("bucket", "n_types", "n_counted", "top", "bands"), "counts")
     types, total = counted.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_counted"), F.lit(0))).first()
-    top = counted.select(F.explode("top").alias("t")).select("t.token", "t.n").orderBy(F.desc("n"), "token").limit(SHORT).collect()
+    top = _most_frequent(counted, SHORT)
     sums = dict(counted.select(F.posexplode("bands")).groupBy("pos").agg(F.sum("col")).collect())
-    symbols = Symbols.of([(r["token"], r["n"]) for r in top], np.array([sums.get(k, 0) for k in range(blockdict.BANDS)], np.int64))
+    symbols = Symbols.of(top, np.array([sums.get(k, 0) for k in range(blockdict.BANDS)], np.int64))
     values = staged(blockdict.resolve(table, symbols.packed), "values")
     net = fit(table, values, symbols)
     flat = net.flat()
