@@ -8,7 +8,7 @@ similarity of 0.8, DISTANCE 27 of 70 leaves out less than one pair in ten thousa
 
 No group is ever expanded to its pairs. Documents of equal sets are one class from the start. Within a key, classes are
 first compared with its least class; then, only in keys whose classes are still in several components, each class with
-the nearest untested class of every other component, round after round, until no pair within DISTANCE is left that could
+the nearest untested classes of every other component (1, 8, 64 and so on), round after round, until no pair within DISTANCE is left that could
 join two components. Every link counts that could change a component, and every link is confirmed on the full sets.
 
 Sets hold 48 bits of each shingle's hash. Null, empty and blank texts have no shingles and stay alone. Fewer words than a
@@ -130,10 +130,11 @@ def _keys_of(with_id: bool):
     return run
 
 
-def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list) -> list[tuple[int, int]]:
-    """Of one key's classes: for each, the nearest untested class of every other component, within DISTANCE.
+def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list, sizes_of: np.ndarray, threshold: tuple[int, int], most: int) -> list[tuple[int, int]]:
+    """Of one key's classes: for each, the ``most`` nearest untested classes of every other component, within DISTANCE.
 
-    Every pair of two components has an end outside the largest one, so only those classes look around.
+    Every pair of two components has an end outside the largest one, so only those classes look around. Sets whose sizes
+    alone keep their similarity below the threshold make no pair.
     """
     names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
@@ -142,44 +143,49 @@ def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray,
     look = np.flatnonzero((side == 0) if two else (at != sizes.argmax()))
     other = np.flatnonzero(side == 1) if two else np.arange(len(rep))
     out = []
+    numer, denom = threshold
     for i in range(0, len(look), 64):
         part = look[i : i + 64]
         far = (sig[part][:, None, :] != sig[other][None, :, :]).sum(axis=2)
-        r, c = np.nonzero((far <= DISTANCE) & (comp[part][:, None] != comp[other][None, :]))
+        a, b = sizes_of[part][:, None], sizes_of[other][None, :]
+        r, c = np.nonzero((far <= DISTANCE) & (comp[part][:, None] != comp[other][None, :]) & (denom * np.minimum(a, b) >= numer * np.maximum(a, b)))
         order = np.lexsort((rep[other[c]], far[r, c], r))
-        seen: set[tuple[int, int]] = set()
+        taken: dict[tuple[int, int], int] = {}
         for x, y in zip(part[r[order]].tolist(), other[c[order]].tolist(), strict=True):
             u, v = int(rep[x]), int(rep[y])
-            if (x, at[y]) not in seen and not (failed[x] and v in failed[x]):
-                seen.add((x, at[y]))
+            if taken.get((x, at[y]), 0) < most and not (failed[x] and v in failed[x]):
+                taken[x, at[y]] = taken.get((x, at[y]), 0) + 1
                 out.append((min(u, v), max(u, v)))
     return out
 
 
-def _near(batches):
+def _near(threshold: tuple[int, int], most: int):
     """_pairs of each group (key, i, j) of a partition sorted by it."""
-    names = ("key", "i", "j", "side", "rep", "comp", "sig", "failed")
-    held = None
+    names = ("key", "i", "j", "side", "rep", "comp", "sig", "n", "failed")
 
     def work(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
         column = dict(zip(names, table.columns, strict=True))
-        rep, comp, side = (column[c].to_numpy() for c in ("rep", "comp", "side"))
+        rep, comp, side, n = (column[c].to_numpy() for c in ("rep", "comp", "side", "n"))
         sig = np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
         failed = [set(f) if f else None for f in column["failed"].to_pylist()]
-        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y])}
+        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y], n[x:y], threshold, most)}
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        part = pa.Table.from_batches([batch]).rename_columns(list(names))
-        table = part if held is None else pa.concat_tables([held, part])
-        code = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-        edges = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1
-        if len(edges):
-            yield work(table.slice(0, int(edges[-1])), [0, *edges.tolist()])
-            table = table.slice(int(edges[-1]))
-        held = table
-    if held is not None and held.num_rows:
-        yield work(held, [0, held.num_rows])
+    def run(batches):
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch]).rename_columns(list(names))
+            table = part if held is None else pa.concat_tables([held, part])
+            code = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            edges = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1
+            if len(edges):
+                yield work(table.slice(0, int(edges[-1])), [0, *edges.tolist()])
+                table = table.slice(int(edges[-1]))
+            held = table
+        if held is not None and held.num_rows:
+            yield work(held, [0, held.num_rows])
+
+    return run
 
 
 def _linked(numer: int, denom: int):
@@ -200,7 +206,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     sketch = staged(rows.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, sig binary"), "sketches")
     classes = staged(sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
     own = sketch.join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "id")
-    own = own.where("d1 = c1 and d2 = c2").groupBy(F.col("id").alias("rep")).agg(F.first("sig").alias("sig"))
+    own = own.where("d1 = c1 and d2 = c2").groupBy(F.col("id").alias("rep")).agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
     sig = staged(own, "signatures")
     shared = sig.mapInArrow(_keys_of(False), "key long").groupBy("key").count().where("count > 1").select("key")
     members = staged(sig.mapInArrow(_keys_of(True), "key long, rep long").join(staged(shared, "keys"), "key"), "members")
@@ -233,23 +239,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     tested = verified(staged(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
     comp = component(tested)
     more = staged(apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), comp), "pairs")
+    most = 1
     while more.take(1):
         tested = staged(tested.unionByName(verified(more)), "tested")
         before, comp = comp, component(tested)
         unstage(before)
         unstage(more)
-        more = staged(_rest(members, comp, tested, sig), "pairs")
+        more = staged(_rest(members, comp, tested, sig, threshold, most), "pairs")
+        most *= 8  # so that a class near many of another component, but not near enough, takes few rounds
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = sketch.join(staged(named, "classes"), ["d1", "d2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
 
 
-def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame, threshold: tuple[int, int], most: int) -> DataFrame:
     """Untested pairs (a, b) that share a key, are within DISTANCE, and lie in different components."""
     rows = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     rows = staged(rows, "keyed")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    rows = rows.join(staged(mixed.select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")), "mixed"), "key").join(sig, "rep")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+    rows = rows.join(staged(mixed.select("key", F.ceil(F.col("many") / SPLIT).cast("int").alias("parts")), "mixed"), "key").join(sig, "rep")
     no = tested.where("not link")
     no = no.select(F.col("a").alias("rep"), F.col("b").alias("x")).union(no.select(F.col("b").alias("rep"), F.col("a").alias("x")))
     rows = rows.join(no.groupBy("rep").agg(F.collect_list("x").alias("failed")), "rep", "left")
@@ -258,5 +266,5 @@ def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
     rows = rows.withColumn("side", F.when((F.col("i") < F.col("j")) & (F.col("part") == F.col("j")), 1).otherwise(0))
-    near = rows.select("key", "i", "j", "side", "rep", "comp", "sig", "failed").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.mapInArrow(_near, "a long, b long").distinct()
+    near = rows.select("key", "i", "j", "side", "rep", "comp", "sig", "n", "failed").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return near.mapInArrow(_near(threshold, most), "a long, b long").distinct()
