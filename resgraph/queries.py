@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.operators import resolve
+from resgraph.operators import resolve, usage, validate
 from resgraph.operators.queries import Engine
 from resgraph.plans import graph as g
 from resgraph.schema import EVENT_TYPES, FUNCTION_CLASSES, SUSPICIOUS_NAMES
@@ -210,3 +210,26 @@ UNION ALL SELECT 1, 'room_' || l.id, l.name, 'ROOM', 35, 'no incoming room trans
 UNION ALL SELECT 2, node_id, name, 'SPRITE', 35, 'no object uses this sprite; suspicious name: ''' || {_part} || '''', '' FROM nodes WHERE type = 'sprite' AND node_id NOT IN (SELECT dst FROM edges) AND {_part} IS NOT NULL
 UNION ALL SELECT 3, node_id, name, 'SOUND', 35, 'sound never played; suspicious name: ''' || {_part} || '''', '' FROM nodes WHERE type = 'sound' AND node_id NOT IN (SELECT dst FROM edges WHERE relation = 'references_sound') AND {_part} IS NOT NULL""")(_of(lambda e: e.suspicious()))
 _query("summary", GRAPH + " UNION ALL ".join(f"SELECT '{n}' AS metric, count(*) AS n FROM {n}" for n in ("objects", "object_events", "rooms", "instances", "sprites", "sounds", "strings", "functions", "variables", "code", "instructions")))(_of(lambda e: e.summary()))
+# -- usage and validation ----------------------------------------------------------------------------------------------
+_bit = usage.BIT
+_query("object_states", GRAPH + f""", cc AS (SELECT creation_code_id AS k FROM rooms WHERE creation_code_id >= 0 UNION SELECT creation_code_id FROM instances WHERE creation_code_id >= 0), near AS (SELECT s.*, c.asset FROM seen4 s LEFT JOIN fclass c ON c.func_id = s.value_func_id),
+b AS (SELECT object_id AS o, {_bit["ROOM_PLACED"]} AS bit FROM instances UNION ALL SELECT value_int, {_bit["INSTANTIATE_CREATED"] | _bit["CREATED_DYNAMICALLY"]} FROM instructions WHERE opcode = 'INSTANTIATE'
+  UNION ALL SELECT a.oid, {_bit["FUNCTION_CREATED"] | _bit["CREATED_DYNAMICALLY"]} FROM obj_arg a JOIN fclass c ON c.func_id = a.value_func_id WHERE a.opcode IN {_calls} AND (c.creation OR c."execute") AND (a.arg.op <> 'PUSHSTR' OR regexp_matches(a.arg.s, '^(obj_|_)'))
+  UNION ALL SELECT o.id, {_bit["ASSET_GET_REFERENCED"]} FROM near n JOIN last_o o ON n.arg.op = 'PUSHSTR' AND o.name = n.arg.s WHERE n.opcode IN {_calls} AND n.asset AND regexp_matches(n.arg.s, '^(obj_|_)')
+  UNION ALL SELECT arg.i, {_bit["WITH_REFERENCED"]} FROM seen4 WHERE opcode = 'WITH' AND arg.op = 'PUSHI' UNION ALL SELECT value_int, {_bit["BYTECODE_REFERENCED"]} FROM instructions WHERE opcode = 'PUSHI'
+  UNION ALL SELECT o.id, {_bit["STRING_REFERENCED"]} FROM instructions i JOIN last_o o ON o.name = i.value_str WHERE opcode = 'PUSHSTR' UNION ALL SELECT value_int, {_bit["CREATION_CODE_REFERENCED"]} FROM instructions WHERE opcode = 'PUSHI' AND code_id IN (SELECT k FROM cc)
+  UNION ALL SELECT id, {_bit["INHERITED"]} FROM objects WHERE parent_index IN (SELECT id FROM objects) UNION ALL SELECT parent_index, {_bit["PARENT_OF"]} FROM objects UNION ALL SELECT subtype, {_bit["COLLISION_REFERENCED"]} FROM object_events WHERE event_type = 4
+  UNION ALL SELECT id, {_bit["HAS_SPRITE"]} FROM objects WHERE sprite_index >= 0 UNION ALL SELECT object_id, {_bit["HAS_EVENTS"]} FROM object_events),
+m AS (SELECT o.id AS object_id, name, coalesce(bit_or(bit), 0)::BIGINT AS mask FROM objects o LEFT JOIN b ON b.o = o.id GROUP BY o.id, name)
+SELECT object_id, name, CASE WHEN mask & {usage.ALIVE} <> 0 THEN mask WHEN mask & {_bit["HAS_EVENTS"] | _bit["HAS_SPRITE"]} <> 0 THEN mask | {_bit["LIKELY_UNUSED"]} ELSE mask | {_bit["UNUSED"]} END AS mask, mask & {usage.ALIVE} <> 0 AS alive FROM m""")(_of(lambda e: usage.object_states(e.game).drop("labels")))
+_query("dialogue_strings", GRAPH + """, w AS (SELECT code_id, pos, opcode, value_func_id, list(CASE WHEN opcode = 'PUSHSTR' AND value_str_id >= 0 THEN value_str_id END) OVER (PARTITION BY code_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM instructions)
+SELECT code_id, pos, unnest(list_filter(l, lambda x: x IS NOT NULL)[-3:]) AS string_id FROM w JOIN functions f ON f.id = value_func_id WHERE opcode IN ('CALL', 'CALLV', 'CALLVN') AND contains(lower(f.name), 'dialogue')""")(_of(lambda e: usage.dialogue_strings(e.game)))
+_query("validation", GRAPH + """, i AS (SELECT 'objects' AS category, 'error' AS severity FROM objects WHERE sprite_index >= 0 AND sprite_index NOT IN (SELECT id FROM sprites)
+  UNION ALL SELECT 'objects', 'error' FROM objects WHERE parent_index >= 0 AND parent_index NOT IN (SELECT id FROM objects) UNION ALL SELECT 'objects', 'warning' FROM object_events WHERE code_id NOT IN (SELECT id FROM code)
+  UNION ALL SELECT 'rooms', 'error' FROM rooms WHERE creation_code_id >= 0 AND creation_code_id NOT IN (SELECT id FROM code) UNION ALL SELECT 'rooms', 'info' FROM rooms WHERE id NOT IN (SELECT room_id FROM instances)
+  UNION ALL SELECT 'rooms', 'error' FROM instances WHERE object_id NOT IN (SELECT id FROM objects) UNION ALL SELECT 'rooms', 'error' FROM instances WHERE creation_code_id >= 0 AND creation_code_id NOT IN (SELECT id FROM code)
+  UNION ALL SELECT 'ownership', 'warning' FROM own WHERE owner_type = -1 UNION ALL SELECT 'ownership', 'warning' FROM functions f WHERE code_offset > 0 AND NOT EXISTS (SELECT 1 FROM code c WHERE f.code_offset >= c."offset" AND f.code_offset < c."offset" + c.length)
+  UNION ALL SELECT 'calls', 'info' FROM code WHERE id NOT IN (SELECT caller FROM call) AND id NOT IN (SELECT callee FROM call WHERE callee IS NOT NULL)
+  UNION ALL SELECT 'usage', 'info' FROM objects WHERE sprite_index < 0
+  UNION ALL SELECT 'flags', 'warning' FROM (SELECT flag FROM uses WHERE flag >= 0 GROUP BY flag HAVING count(*) FILTER (access = 'write') = 0))
+SELECT category, severity, count(*) AS n FROM i GROUP BY ALL""")(_of(lambda e: validate.totals(validate.validate(e.game).where("category not in ('chunks', 'strings')"))))
