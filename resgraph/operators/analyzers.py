@@ -126,10 +126,14 @@ class Analyzers:
         return self.p.dialogues.join(said.union(hashed).withColumnRenamed("name", "id"), "id", "left_anti")
 
     def dead(self) -> DataFrame:
-        """(kind, name) of every set."""
+        """(kind, name) of every set; kept, as reports read it again."""
+        return self._dead
+
+    @cached_property
+    def _dead(self) -> DataFrame:
         sets = {"object": self.dead_objects, "room": self.dead_rooms, "script": self.dead_scripts, "sound": self.dead_sounds, "sprite": self.dead_sprites}
         rows = [rows.select(F.lit(kind).alias("kind"), "name") for kind, rows in sets.items()]
-        return reduce(DataFrame.union, [*rows, self.dead_dialogues.select(F.lit("dialogue"), "id")])
+        return reduce(DataFrame.union, [*rows, self.dead_dialogues.select(F.lit("dialogue"), "id")]).persist()
 
     # -- the analyzers -----------------------------------------------------------------------------------------------
     def callgraph(self) -> DataFrame:
@@ -252,8 +256,12 @@ class Analyzers:
         return _rows(rows, "plots", F.concat(F.lit("plot_state_"), "plot"), "UNKNOWN", F.col("score"), F.when(~F.col("handled"), F.concat(F.lit("Plot state "), "plot", F.lit(" referenced but no code handles it"))), F.when(~F.col("written") & (F.col("reads") > 0), F.concat(F.lit("Plot state "), "plot", F.lit(" read but never written"))))
 
     def suspicious(self) -> DataFrame:
-        """(analyzer, name, resource_type, score, level, reasons) of all analyzers."""
-        return reduce(DataFrame.unionByName, [f() for f in (self.callgraph, self.deadcode, self.flags, self.objects, self.rooms, self.scripts, self.sounds, self.sprites, self.dialogues, self.transition_findings, self.plots)])
+        """(analyzer, name, resource_type, score, level, reasons) of all analyzers; kept, as reports read it again."""
+        return self._suspicious
+
+    @cached_property
+    def _suspicious(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f() for f in (self.callgraph, self.deadcode, self.flags, self.objects, self.rooms, self.scripts, self.sounds, self.sprites, self.dialogues, self.transition_findings, self.plots)]).persist()
 
     def top(self, n: int = 100) -> DataFrame:
         return self.suspicious().orderBy(F.desc("score"), "analyzer", "name").limit(n)
