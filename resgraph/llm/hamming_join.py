@@ -130,11 +130,12 @@ def _keys_of(with_id: bool):
     return run
 
 
-def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list, sizes_of: np.ndarray, threshold: tuple[int, int], most: int) -> list[tuple[int, int]]:
+def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list, sizes_of: np.ndarray, threshold: tuple[int, int], most: int, key: int | None = None) -> list[tuple[int, int]]:
     """Of one key's classes: for each, the ``most`` nearest untested classes of every other component, within DISTANCE.
 
     Every pair of two components has an end outside the largest one, so only those classes look around. Sets whose sizes
-    alone keep their similarity below the threshold make no pair.
+    alone keep their similarity below the threshold make no pair. With key, the group's key, a pair counts only under the
+    first key that its classes share, so that no other key tells it again.
     """
     names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
     if len(names) < 2:
@@ -144,11 +145,16 @@ def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray,
     other = np.flatnonzero(side == 1) if two else np.arange(len(rep))
     out = []
     numer, denom = threshold
+    mine = keys(sig) if key is not None else None
     for i in range(0, len(look), 64):
         part = look[i : i + 64]
         far = (sig[part][:, None, :] != sig[other][None, :, :]).sum(axis=2)
         a, b = sizes_of[part][:, None], sizes_of[other][None, :]
         r, c = np.nonzero((far <= DISTANCE) & (comp[part][:, None] != comp[other][None, :]) & (denom * np.minimum(a, b) >= numer * np.maximum(a, b)))
+        if key is not None and len(r):
+            x, y = mine[part[r]], mine[other[c]]
+            first = x[np.arange(len(r)), (x == y).argmax(axis=1)] == key
+            r, c = r[first], c[first]
         order = np.lexsort((rep[other[c]], far[r, c], r))
         taken: dict[tuple[int, int], int] = {}
         for x, y in zip(part[r[order]].tolist(), other[c[order]].tolist(), strict=True):
@@ -168,7 +174,7 @@ def _near(threshold: tuple[int, int], most: int):
         rep, comp, side, n = (column[c].to_numpy() for c in ("rep", "comp", "side", "n"))
         sig = np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
         failed = [set(f) if f else None for f in column["failed"].to_pylist()]
-        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y], n[x:y], threshold, most)}
+        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y], n[x:y], threshold, most, int(column["key"][x].as_py()))}
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
