@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from resgraph.schema import Game
 
-_NUMBERS = "SELECT p_partkey AS k FROM part WHERE p_partkey < 120"
+_NUMBERS = "SELECT p_partkey AS k FROM part"
 _OBJECT = "concat(CASE WHEN p_partkey % 97 = 5 THEN 'debug ' ELSE '' END, p_name, '_', CAST(p_partkey AS varchar(20)))"
 _SAID = """CASE WHEN k >= 100 THEN concat('never said ', CAST(k AS varchar(20))) WHEN k % 4 = 0 THEN concat({obj_name}) WHEN k % 4 = 1 THEN s_name
   WHEN k % 4 = 2 THEN {snd_name} ELSE concat('text ', CAST(k AS varchar(20))) END"""
@@ -19,20 +19,19 @@ PROJECTION = {
     "objects": f"""SELECT p_partkey AS id, {_OBJECT} AS name, CAST(p_size AS bigint) AS sprite_index, CAST(-1 AS bigint) AS mask_index,
   CASE WHEN p_partkey > 0 AND p_partkey % 3 = 0 THEN CAST(floor(p_partkey / 7) AS bigint) ELSE CAST(-1 AS bigint) END AS parent_index FROM part""",
     "object_events": """SELECT p_partkey AS object_id, CAST(CASE WHEN p_partkey % 5 = 2 THEN 4 ELSE p_partkey % 4 END AS int) AS event_type,
-  CAST(p_partkey % 60 AS int) AS subtype, p_partkey % 150 AS code_id FROM part WHERE p_partkey % 2 = 0""",
+  CAST(p_partkey % 60 AS int) AS subtype, p_partkey % 150 AS code_id FROM part""",
     "rooms": """SELECT s_suppkey AS id, s_name AS name, CAST(320 + s_nationkey AS int) AS width, CAST(240 AS int) AS height, CAST(30 AS int) AS speed,
   s_suppkey % 7 = 0 AS persistent, CASE WHEN s_suppkey % 10 = 3 THEN s_suppkey ELSE CAST(-1 AS bigint) END AS creation_code_id FROM supplier""",
-    "instances": """SELECT DISTINCT l_suppkey AS room_id, l_suppkey * 1000000 + l_partkey AS instance_id, l_partkey AS object_id,
+    "instances": """SELECT DISTINCT l_suppkey AS room_id, l_suppkey * 1000000 + l_partkey AS instance_id, l_partkey - l_partkey % 6 AS object_id,
   CAST(l_partkey % 640 AS int) AS x, CAST(l_suppkey % 480 AS int) AS y,
-  CASE WHEN l_partkey % 50 = 0 THEN l_partkey % 150 ELSE CAST(-1 AS bigint) END AS creation_code_id
-  FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'""",
+  CASE WHEN l_partkey % 50 = 0 THEN l_partkey % 150 ELSE CAST(-1 AS bigint) END AS creation_code_id FROM lineitem""",
     "sprites": f"""SELECT k AS id, concat('spr_', CASE WHEN k % 10 = 9 THEN 'debug_' ELSE '' END, CAST(k AS varchar(20))) AS name FROM ({_NUMBERS}) n""",
     "sounds": f"""SELECT k AS id, {_SOUND} AS name FROM ({_NUMBERS}) n""",
     "strings": f"""SELECT k AS id, {_SAID.format(obj_name=_OBJECT, snd_name=_SOUND)} AS value
-  FROM (SELECT p_partkey AS k, p_partkey, p_name, s_name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey WHERE p_partkey < 120) n""",
+  FROM (SELECT p_partkey AS k, p_partkey, p_name, s_name FROM part LEFT JOIN supplier ON s_suppkey = p_partkey) n""",
     "functions": f"""SELECT k AS id, concat(CASE k % 10 WHEN 0 THEN 'scr_flag_get_' WHEN 1 THEN 'scr_flag_set_' WHEN 2 THEN 'instance_create_depth_'
   WHEN 3 THEN 'asset_get_index_' WHEN 4 THEN 'audio_play_sound_' WHEN 5 THEN 'room_goto_' WHEN 6 THEN 'scr_dialogue_' ELSE 'fn_' END,
-  CAST(k AS varchar(20))) AS name, CASE WHEN k % 2 = 0 THEN 1000 + 64 * k ELSE CAST(0 AS bigint) END AS code_offset FROM ({_NUMBERS}) n WHERE k < 98""",
+  CAST(k AS varchar(20))) AS name, CASE WHEN k % 2 = 0 THEN 1000 + 64 * k ELSE CAST(0 AS bigint) END AS code_offset FROM ({_NUMBERS}) n""",
     "variables": f"""SELECT k AS id, concat('var_', CAST(k AS varchar(20))) AS name FROM ({_NUMBERS}) n""",
     "code": """SELECT user_id AS id, CASE user_id % 6 WHEN 1 THEN concat('gml_Script_scr_', CAST(user_id AS varchar(20)))
   WHEN 2 THEN concat('gml_GlobalScript_g_', CAST(user_id AS varchar(20))) WHEN 3 THEN concat('gml_Room_r', CAST(user_id AS varchar(20)), '_Create')
