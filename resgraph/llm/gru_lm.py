@@ -7,8 +7,8 @@ of the counts. So that the network meets unseen tokens in training, half of the
 unseen; an unseen token has one share among as many types as have count 1, so the probabilities sum to 1 at most.
 
 The network embeds the symbol before, updates a gated recurrent unit, and has a class-factored softmax: a class, then a
-symbol of the class. Training is by truncated backpropagation through time: windows of WINDOW tokens from all over every
-training document, in chunks of CHUNK between which the state is carried on but not the gradient, by Adam. In each of
+symbol of the class. Training is by truncated backpropagation through time: consecutive windows of WINDOW tokens that
+hold every token of every training document, in chunks of CHUNK between which the state is carried on but not the gradient, by Adam. In each of
 ROUNDS rounds workers start from the same weights, take their own windows, and their weights are averaged. Scoring runs
 over whole documents, all documents of a block side by side, with the state carried from a document's start to its end.
 
@@ -32,7 +32,7 @@ from resgraph.llm.common import staged
 
 SHORT, CLASSES = 2000, 45
 EMBED, HIDDEN = 24, 32
-WINDOW, CHUNK, STRIDE = 64, 32, 600
+WINDOW, CHUNK = 64, 32
 ROUNDS, BATCH, RATE, LEAST_STEPS = 3, 64, 0.01, 30
 WORKER_WINDOWS = 6000
 END = ""
@@ -236,7 +236,7 @@ class Net:
 
 
 def _windows(start: int, symbols: Symbols):
-    """Training windows of a block: from each training document one for each STRIDE tokens begun, at a place by hash."""
+    """Training windows of a block: each training document whole; a last window that would be short begins earlier."""
     once, unseen = int(symbols.band[1]), int(symbols.band[0])
 
     def make(docs: pd.DataFrame, value: np.ndarray, doc: np.ndarray, freq: np.ndarray) -> pd.DataFrame:
@@ -251,9 +251,9 @@ def _windows(start: int, symbols: Symbols):
             said = np.concatenate([[start], symbol[at : at + k]]).astype("<u2")
             if zlib.crc32(f"unseen/{id}/{i}".encode()) & 1:
                 said[said == once] = unseen
-            for j in range(0, k, STRIDE):
+            for j in range(0, k, WINDOW):
                 spot = zlib.crc32(f"{id}/{j}/{i}".encode())
-                begin = j + spot % max(1, min(STRIDE, k - j) - WINDOW + 1)
+                begin = max(0, min(j, k - WINDOW))
                 cut = said[begin : begin + WINDOW + 1]
                 if len(cut) < WINDOW + 1:  # short texts go on from their start
                     cut = np.concatenate([cut, np.resize(said[1:], WINDOW + 1 - len(cut))])
