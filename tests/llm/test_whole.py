@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from resgraph.llm import blockdict, gru_lm
+from resgraph.llm import blockdict, gru_lm, hamming_join
 
 
 def test_windows_hold_every_training_token():
@@ -18,3 +18,17 @@ def test_windows_hold_every_training_token():
     rows = np.frombuffer(b"".join(made["symbols"]), "<u2").reshape(-1, gru_lm.WINDOW + 1)
     assert set(rows[:, 1:].ravel().tolist()) == set(value.tolist())
     assert len(rows) == sum(-(-n // gru_lm.WINDOW) for n in sizes)
+
+
+def test_link_that_no_star_has(spark):
+    """The least class is in every key that two others share, and near neither."""
+    base = [f"w{i}" for i in range(1000)]
+    for seed in range(100):
+        longer = base + [f"x{seed}_{i}" for i in range(8)]
+        texts = [" ".join(w) for w in (base, longer, [*longer, "y"])]
+        sig = hamming_join.signatures(hamming_join.shingle_sets(texts, 1))
+        if (sig == sig[0]).all():
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in hamming_join.near_duplicates(docs, width=1, threshold=(995, 1000)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
