@@ -6,14 +6,26 @@ principle, two signatures within DISTANCE = CHUNKS * (ERRORS + 1) - 1 have a chu
 positions, so one key for each chunk and each choice of ERRORS positions left out brings every such pair together. (At a
 similarity of 0.8, DISTANCE 27 of 70 leaves out less than one pair in ten thousand; the expected distance is 14.)
 
-No group is ever expanded to its pairs. Documents of equal sets are one class from the start. Within a key, classes are
-first compared with its least class; then, only in keys whose classes are still in several components, each class with
-the nearest untested classes of every other component (1, 8, 64 and so on), round after round, until no pair within DISTANCE is left that could
-join two components. Every link counts that could change a component, and every link is confirmed on the full sets.
+No group is ever expanded to its pairs. Documents of equal sets are one class from the start.
+
+1. Within each key a task searches for the spanning forest of its classes under DISTANCE, by signatures alone; a key of
+   more than GROUP classes makes a star of all of them, which may join more than it has to but never less. The components
+   of these forests are families: every pair within DISTANCE lies in one family.
+2. A family's sets go to one task, once, which searches for the spanning forest of its links: pairs within DISTANCE whose
+   full sets reach the threshold. A search compares a class only with classes that it has not yet reached, so that n near
+   copies cost about n comparisons.
+3. A family of more than GROUP classes or WEIGHT shingles is cut into parts, each searched together with HUBS classes that
+   all parts share. Then each class outside the largest component found meets every part, once, and looks for links to
+   other components. Every pair of two components has such a class, so no link between components is missed.
+
+Tasks return forests: never more rows than classes. Every link is confirmed on full sets. The work of a family without
+links among its classes grows with the square of its size, as all its pairs are within DISTANCE or share a key.
 
 Sets hold 48 bits of each shingle's hash. Null, empty and blank texts have no shingles and stay alone. Fewer words than a
-shingle has make one shingle of all. Rows with a null id link with nothing and have a null
-component. Repeated rows (same id and text) get the same component. Extra columns aren't read.
+shingle has make one shingle of all; very long texts are sets like all others. Rows with a null id link with nothing and
+have a null component. Repeated rows (same id and text) get the same component; rows of one id with different texts are
+compared each. Ties don't arise, as components are named by their least id. An empty table gives no rows. Extra columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +33,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +42,7 @@ from resgraph.llm.common import components, staged, unstage
 
 POSITIONS, BITS, CHUNKS, ERRORS = 70, 16, 14, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-SPLIT = 1000  # classes of one key compared in one task
+GROUP, WEIGHT, HUBS = 4000, 2_000_000, 8  # classes and shingles of a family that one task takes; classes all parts share
 _rng = np.random.default_rng(8)
 _mul = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _add = _rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64).astype(np.uint32)
@@ -116,165 +127,227 @@ def _sketch(width: int):
     return run
 
 
-def _keys_of(with_id: bool):
+def _keyed(batches):
+    """(node, sig) to (key, node)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            key = keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), key.shape[1]))], ["key", "node"])
+
+
+def _shared(batches):
+    """Of rows (key, node) sorted by key, those whose key has another row."""
+    held, told = None, False  # the last row waits for the one after it, unless the one before has told it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        key = table.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        out = keep.copy()
+        out[0] &= not told
+        yield from table.filter(pa.array(out)).to_batches()
+        held, told = table.slice(len(key) - 1), bool(keep[-1])
+
+
+def _groups(batches, names: list[str], by: list[str]):
+    """(table, bounds) of whole groups, from batches sorted by the columns ``by``."""
+    held = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch]).rename_columns(names)
+        table = part if held is None else pa.concat_tables([held, part])
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in by:
+            code = table.column(c).to_numpy()
+            change |= code[1:] != code[:-1]
+        edges = np.flatnonzero(change) + 1
+        if len(edges):
+            yield table.slice(0, int(edges[-1])), [0, *edges.tolist()]
+            table = table.slice(int(edges[-1]))
+        held = table
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def _search(size: int, near) -> list[tuple[int, int]]:
+    """Spanning forest of the graph whose node x is linked with near(x, others); reached nodes are compared no more."""
+    left, queue, edges = np.arange(size), [], []
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        x = queue.pop()
+        hit = near(x, left)
+        found = left[hit].tolist()
+        edges += [(x, y) for y in found]
+        queue += found
+        left = left[~hit]
+    return edges
+
+
+def _edges(pairs: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.sort(pairs.reshape(-1, 2), axis=1), axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _signatures_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
+def _close(batches):
+    """Of rows (key, node, sig) sorted by key: forest edges of each key's classes under DISTANCE."""
+    for table, bounds in _groups(batches, ["key", "node", "sig"], ["key"]):
+        node, sig = table.column("node").to_numpy(), _signatures_of(table.column("sig"))
+        starts, sizes = np.array(bounds[:-1]), np.diff(bounds)
+        first = np.repeat(starts, sizes)
+        close = (sig != sig[first]).sum(axis=1) <= DISTANCE  # with the first of its key, which decides most keys
+        far = np.add.reduceat(~close, starts)
+        star = close & np.repeat(far == 0, sizes) & (first != np.arange(len(node)))
+        pairs = [np.stack([node[first[star]], node[star]], axis=1)]
+        for g in np.flatnonzero((far > 0) & (sizes > 2)):
+            mine, own = sig[bounds[g] : bounds[g + 1]], node[bounds[g] : bounds[g + 1]]
+            found = _search(len(own), lambda x, left: (mine[left] != mine[x]).sum(axis=1) <= DISTANCE)
+            if found:
+                pairs.append(own[np.array(found)])
+        yield _edges(np.concatenate(pairs))
+
+
+class _Sets:
+    """Signatures and shingle sets of the classes that one task compares."""
+
+    def __init__(self, table: pa.Table, threshold: tuple[int, int]):
+        self.numer, self.denom = threshold
+        self.sig = _signatures_of(table.column("sig"))
+        sets = [unpack(m) for m in table.column("members").to_pylist()]
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.cumsum(self.size) - self.size
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+
+    def linked(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Which of others are within DISTANCE of x and reach the threshold with it, on full sets."""
+        n = self.size[others]
+        out = (self.sig[others] != self.sig[x]).sum(axis=1) <= DISTANCE
+        out &= self.denom * np.minimum(n, self.size[x]) >= self.numer * np.maximum(n, self.size[x])
+        at = np.flatnonzero(out)
+        if len(at):
+            own = self.flat[self.start[x] : self.start[x] + self.size[x]]
+            self.mark[own] = True
+            begin, n = self.start[others[at]], n[at]
+            stops = np.cumsum(n)
+            spots = np.arange(stops[-1]) + np.repeat(begin - (stops - n), n)
+            both = np.add.reduceat(self.mark[self.flat[spots]].astype(np.int64), stops - n)
+            self.mark[own] = False
+            out[at] = self.denom * both >= self.numer * (n + self.size[x] - both)
+        return out
+
+
+def _links(threshold: tuple[int, int]):
+    """Of rows (family, part, node, sig, members) sorted by the first two: forest edges of each group's links."""
+
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                key = keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, POSITIONS))
-                arrays = [pa.array(key.reshape(-1))]
-                if with_id:
-                    arrays.append(pa.array(np.repeat(part.column(0).to_numpy(), key.shape[1])))
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "rep"][: len(arrays)])
+        for table, bounds in _groups(batches, ["family", "part", "node", "sig", "members"], ["family", "part"]):
+            node, pairs = table.column("node").to_numpy(), []
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                sets = _Sets(table.slice(i, j - i), threshold)
+                found = _search(j - i, sets.linked)
+                if found:
+                    pairs.append(node[i:j][np.array(found)])
+            yield _edges(np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64))
 
     return run
 
 
-def _pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray, side: np.ndarray, failed: list, sizes_of: np.ndarray, threshold: tuple[int, int], most: int, key: int | None = None) -> list[tuple[int, int]]:
-    """Of one key's classes: for each, the ``most`` nearest untested classes of every other component, within DISTANCE.
-
-    Every pair of two components has an end outside the largest one, so only those classes look around. Sets whose sizes
-    alone keep their similarity below the threshold make no pair. With key, the group's key, a pair counts only under the
-    first key that its classes share, so that no other key tells it again.
-    """
-    names, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return []
-    two = bool(side.any())
-    look = np.flatnonzero((side == 0) if two else (at != sizes.argmax()))
-    other = np.flatnonzero(side == 1) if two else np.arange(len(rep))
-    out = []
-    numer, denom = threshold
-    mine = keys(sig) if key is not None else None
-    for i in range(0, len(look), 64):
-        part = look[i : i + 64]
-        far = (sig[part][:, None, :] != sig[other][None, :, :]).sum(axis=2)
-        a, b = sizes_of[part][:, None], sizes_of[other][None, :]
-        r, c = np.nonzero((far <= DISTANCE) & (comp[part][:, None] != comp[other][None, :]) & (denom * np.minimum(a, b) >= numer * np.maximum(a, b)))
-        if key is not None and len(r):
-            x, y = mine[part[r]], mine[other[c]]
-            first = x[np.arange(len(r)), (x == y).argmax(axis=1)] == key
-            r, c = r[first], c[first]
-        order = np.lexsort((rep[other[c]], far[r, c], r))
-        taken: dict[tuple[int, int], int] = {}
-        for x, y in zip(part[r[order]].tolist(), other[c[order]].tolist(), strict=True):
-            u, v = int(rep[x]), int(rep[y])
-            if taken.get((x, at[y]), 0) < most and not (failed[x] and v in failed[x]):
-                taken[x, at[y]] = taken.get((x, at[y]), 0) + 1
-                out.append((min(u, v), max(u, v)))
-    return out
-
-
-def _near(threshold: tuple[int, int], most: int):
-    """_pairs of each group (key, i, j) of a partition sorted by it."""
-    names = ("key", "i", "j", "side", "rep", "comp", "sig", "n", "failed")
-
-    def work(table: pa.Table, bounds: list[int]) -> pa.RecordBatch:
-        column = dict(zip(names, table.columns, strict=True))
-        rep, comp, side, n = (column[c].to_numpy() for c in ("rep", "comp", "side", "n"))
-        sig = np.frombuffer(b"".join(column["sig"].to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        failed = [set(f) if f else None for f in column["failed"].to_pylist()]
-        found = {p for x, y in zip(bounds[:-1], bounds[1:], strict=True) for p in _pairs(rep[x:y], comp[x:y], sig[x:y], side[x:y], failed[x:y], n[x:y], threshold, most, int(column["key"][x].as_py()))}
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _across(threshold: tuple[int, int]):
+    """Of rows (family, part, chunk, node, comp, asks, sig, members): links of asking rows to other components."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch]).rename_columns(list(names))
-            table = part if held is None else pa.concat_tables([held, part])
-            code = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            edges = np.flatnonzero((code[:, 1:] != code[:, :-1]).any(axis=0)) + 1
-            if len(edges):
-                yield work(table.slice(0, int(edges[-1])), [0, *edges.tolist()])
-                table = table.slice(int(edges[-1]))
-            held = table
-        if held is not None and held.num_rows:
-            yield work(held, [0, held.num_rows])
+        for table, bounds in _groups(batches, ["family", "part", "chunk", "node", "comp", "asks", "sig", "members"], ["family", "part", "chunk"]):
+            pairs = []
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                part = table.slice(i, j - i)
+                node, comp, asks = (part.column(c).to_numpy().copy() for c in ("node", "comp", "asks"))
+                sets, told = _Sets(part, threshold), np.flatnonzero(asks == 0)
+                for x in np.flatnonzero(asks == 1).tolist():
+                    others = told[comp[told] != comp[x]]
+                    if not len(others):
+                        continue
+                    hits = others[sets.linked(x, others)]
+                    for c, y in zip(*np.unique(comp[hits], return_index=True), strict=True):
+                        pairs.append((node[x], node[hits[y]]))
+                        comp[comp == c] = comp[x]  # so that no later class tells of the same two components
+            yield _edges(np.array(pairs, np.int64).reshape(-1, 2))
 
     return run
 
 
-def _linked(numer: int, denom: int):
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            u, v = unpack(x), unpack(y)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(denom * both >= numer * (len(u) + len(v) - both))
-        return pd.Series(out, dtype="bool")
-
-    return F.pandas_udf(run, "boolean")
+def _large(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links of families cut into parts; rows (family, parts, node, n, sig, members)."""
+    data = ("node", "sig", "members")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    hubs = rows.groupBy("family").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(HUBS)])).alias("hubs"))
+    hubs = rows.join(hubs.select(F.col("family").alias("of"), F.explode("hubs").alias("hub")), (F.col("family") == F.col("of")) & (F.col("node") == F.col("hub")))
+    hubs = hubs.withColumn("own", F.col("part")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).where("part <> own")
+    groups = rows.select("family", "part", *data).union(hubs.select("family", "part", *data))
+    inside = staged(groups.repartition("family", "part").sortWithinPartitions("family", "part").mapInArrow(_links(threshold), "a long, b long"), "inside")
+    comp = staged(components(inside), "parts")
+    rows = rows.join(comp.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = staged(rows, "large")
+    sizes = rows.groupBy("family", "comp").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+    most = sizes.groupBy("family").agg(F.max_by("comp", F.struct("many", "comp")).alias("most"), F.sum("many").alias("many"), F.sum("weight").alias("weight"), F.max(F.struct("many", "weight")).alias("top"))
+    # the asking classes are cut into chunks as families are into parts
+    chunks = F.greatest(F.ceil((F.col("many") - F.col("top.many")) / GROUP), F.ceil((F.col("weight") - F.col("top.weight")) / WEIGHT)).cast("int")
+    rows = rows.join(staged(most.select("family", "most", chunks.alias("chunks")).where("chunks > 0"), "asking"), "family")
+    told = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("family", "part", "chunk", "node", "comp", F.lit(0).alias("asks"), "sig", "members")
+    asks = rows.where("comp <> most").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).select("family", "part", "chunk", "node", "comp", F.lit(1).alias("asks"), "sig", "members")
+    by = ("family", "part", "chunk")
+    return inside.union(told.union(asks).repartition(*by).sortWithinPartitions(*by).mapInArrow(_across(threshold), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """(id, n_shingles, component_id): component_id is the least id reachable by links of similarity threshold or more."""
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketch = staged(rows.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, sig binary"), "sketches")
-    classes = staged(sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    own = sketch.join(classes.select(F.col("rep").alias("id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "id")
-    own = own.where("d1 = c1 and d2 = c2").groupBy(F.col("id").alias("rep")).agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
-    sig = staged(own, "signatures")
-    shared = sig.mapInArrow(_keys_of(False), "key long").groupBy("key").count().where("count > 1").select("key")
-    members = staged(sig.mapInArrow(_keys_of(True), "key long, rep long").join(staged(shared, "keys"), "key"), "members")
-    centers = staged(members.groupBy("key").agg(F.min("rep").alias("a")), "centers")
-    stars = staged(members.join(centers, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
-    some = staged(members.select("rep").distinct(), "candidates")
+    classes = sketch.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("node", "sig").mapInArrow(_keyed, "key long, node long").repartition("key").sortWithinPartitions("key")
+    members = staged(keyed.mapInArrow(_shared, "key long, node long"), "members")
+    many = members.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("hub")).where(F.col("many") > GROUP)
+    hot = staged(many.select("key", "hub"), "hot")
+    stars = members.join(hot, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    close = members.join(hot, "key", "left_anti").join(classes.select("node", "sig"), "node").select("key", "node", "sig")
+    close = close.repartition("key").sortWithinPartitions("key").mapInArrow(_close, "a long, b long")
+    family = staged(components(close.union(stars)).toDF("node", "family"), "families")
+    unstage(members)
+
+    mine = classes.join(family, "node").select("family", "node", "low", "d1", "d2", "n", "sig")
+    sizes = mine.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / WEIGHT)).cast("int").alias("parts"))
+    mine = staged(mine.join(sizes, "family"), "candidates")
 
     def set_rows(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(s) for s in sets], pa.binary())], ["rep", "members"])
-
-    held = rows.join(some.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text")
-    sets = staged(held.mapInArrow(set_rows, "rep long, members binary").where("length(members) > 0").dropDuplicates(["rep"]), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("sb")), "b")
-        pairs = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("sa")), "a")
-        return staged(pairs.select("a", "b", _linked(*threshold)("sa", "sb").alias("link")), "tested")
-
-    def component(links: DataFrame) -> DataFrame:
-        return staged(components(links.where("link").select("a", "b")).toDF("node", "comp"), "components")
-
-    def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")), c, "left")
-        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    # each class with the least of its keys' centers; then with its other centers, where that could still join components
-    tested = verified(staged(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
-    comp = component(tested)
-    more = staged(apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), comp), "pairs")
-    most = 1
-    if not more.take(1):  # two classes may meet only in keys where neither is the least
-        unstage(more)
-        more = staged(_rest(members, comp, tested, sig, threshold, most), "pairs")
-        most *= 8
-    while more.take(1):
-        tested = staged(tested.unionByName(verified(more)), "tested")
-        before, comp = comp, component(tested)
-        unstage(before)
-        unstage(more)
-        more = staged(_rest(members, comp, tested, sig, threshold, most), "pairs")
-        most *= 8  # so that a class near many of another component, but not near enough, takes few rounds
-    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = sketch.join(staged(named, "classes"), ["d1", "d2"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
-
-
-def _rest(members: DataFrame, comp: DataFrame, tested: DataFrame, sig: DataFrame, threshold: tuple[int, int], most: int) -> DataFrame:
-    """Untested pairs (a, b) that share a key, are within DISTANCE, and lie in different components."""
-    rows = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    rows = staged(rows, "keyed")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    rows = rows.join(staged(mixed.select("key", F.ceil(F.col("many") / SPLIT).cast("int").alias("parts")), "mixed"), "key").join(sig, "rep")
-    no = tested.where("not link")
-    no = no.select(F.col("a").alias("rep"), F.col("b").alias("x")).union(no.select(F.col("b").alias("rep"), F.col("a").alias("x")))
-    rows = rows.join(no.groupBy("rep").agg(F.collect_list("x").alias("failed")), "rep", "left")
-    # a key with many classes is cut into parts, and each two parts meet in one task
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-    rows = rows.withColumn("side", F.when((F.col("i") < F.col("j")) & (F.col("part") == F.col("j")), 1).otherwise(0))
-    near = rows.select("key", "i", "j", "side", "rep", "comp", "sig", "n", "failed").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.mapInArrow(_near(threshold, most), "a long, b long").distinct()
+            for i in range(0, batch.num_rows, 200):
+                sets = shingle_sets(batch.column(0).slice(i, 200).to_pylist(), width)
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                halves = [pa.array([int.from_bytes(d[k : k + 8], "little", signed=True) for d in digest], pa.int64()) for k in (0, 8)]
+                yield pa.RecordBatch.from_arrays([*halves, pa.array([pack(s) for s in sets], pa.binary())], ["e1", "e2", "members"])
+
+    held = rows.join(mine.select(F.col("low").alias("id")).distinct(), "id", "left_semi").select("text")
+    sets = held.mapInArrow(set_rows, "e1 long, e2 long, members binary").dropDuplicates(["e1", "e2"])
+    full = staged(mine.join(sets, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("family", "parts", "node", "n", "sig", "members"), "sets")
+    small = full.where("parts = 1").select("family", F.lit(0).alias("part"), "node", "sig", "members")
+    links = small.repartition("family").sortWithinPartitions("family").mapInArrow(_links(threshold), "a long, b long")
+    large = full.where("parts > 1")
+    if large.take(1):
+        links = links.union(_large(large, threshold))
+    comp = staged(components(links).toDF("node", "comp"), "components")
+    unstage(full)
+
+    named = classes.join(comp, "node", "left").select("d1", "d2", "low", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("low").alias("component"))
+    out = sketch.join(staged(named.join(least, "comp").select("d1", "d2", "component"), "named"), ["d1", "d2"], "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -153,18 +153,6 @@ def test_near_duplicates(spark, docs, none):
     assert hamming_join.near_duplicates(none).count() == 0
 
 
-def test_pairs_across_parts():
-    rep, comp = np.arange(6), np.array([0, 0, 0, 0, 4, 5])
-    sig = np.zeros((6, hamming_join.POSITIONS), np.uint16)
-    sig[5, :60] = 1
-    n, rule = np.full(6, 50), (80, 100)
-    assert hamming_join._pairs(rep, comp, sig, np.zeros(6, int), [None] * 6, n, rule, 1) == [(0, 4)]
-    assert hamming_join._pairs(rep, comp, sig, np.zeros(6, int), [None] * 6, n, rule, 3) == [(0, 4), (1, 4), (2, 4)]
-    assert hamming_join._pairs(rep, comp, sig, np.zeros(6, int), [None] * 4 + [{0}, None], n, rule, 1) == [(1, 4)]
-    assert hamming_join._pairs(rep, comp, sig, np.array([0, 0, 0, 0, 1, 1]), [None] * 6, n, rule, 1) == [(i, 4) for i in range(4)]
-    assert hamming_join._pairs(rep, comp, sig, np.zeros(6, int), [None] * 6, np.array([50, 50, 50, 50, 30, 50]), rule, 1) == []
-
-
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)]
     for fold in (1_000_000, 2):
