@@ -336,7 +336,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
                 halves = [pa.array([int.from_bytes(d[k : k + 8], "little", signed=True) for d in digest], pa.int64()) for k in (0, 8)]
                 yield pa.RecordBatch.from_arrays([*halves, pa.array([pack(s) for s in sets], pa.binary())], ["e1", "e2", "members"])
 
-    held = rows.join(mine.select(F.col("low").alias("id")).distinct(), "id", "left_semi").select("text")
+    # texts are dealt by id at every size of the candidates, and not sorted
+    held = rows.join(mine.select(F.col("low").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").select("text")
     sets = held.mapInArrow(set_rows, "e1 long, e2 long, members binary").dropDuplicates(["e1", "e2"])
     full = staged(mine.join(sets, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("family", "parts", "node", "n", "sig", "members"), "sets")
     small = full.where("parts = 1").select("family", F.lit(0).alias("part"), "node", "sig", "members")

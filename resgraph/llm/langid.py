@@ -25,6 +25,7 @@ LANDMARKS = 256
 PER_LANGUAGE = 500
 RIDGE = 1e-2
 SLICE = 80
+BLOCK = 128
 BATCH_CHARS = 400_000
 UNKNOWN = "und"
 
@@ -85,19 +86,22 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a @ b.T / np.maximum(1e-9, np.sqrt(a.sum(axis=1))[:, None] * np.sqrt(b.sum(axis=1)))
 
 
-def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Nystroem features over landmarks dealt evenly to the languages, and ridge regression to +1/-1 for each."""
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Nystroem features over landmarks dealt evenly to the languages, and ridge regression to +1/-1 for each.
+
+    bits holds the packed presence of each training text; it is unpacked BLOCK rows at a time.
+    """
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((0, DIM // 8), np.uint8), np.zeros((0, 0), np.float32))
     at = {lang: [i for i, y in enumerate(labels) if y == lang] for lang in languages}
     each = max(1, landmarks // len(languages))
     chosen = [i for lang in languages for i in at[lang][:: max(1, len(at[lang]) // each)][:each]]
-    marks = x[chosen]
+    marks = np.unpackbits(bits[chosen], axis=1)
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = kernel(x, marks) @ root
+    z = np.concatenate([kernel(np.unpackbits(bits[i : i + BLOCK], axis=1), marks) @ root for i in range(0, len(bits), BLOCK)])
     y = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     balance = 1.0 / np.array([len(at[lab]) for lab in labels])  # languages weigh alike
     zw = z * balance[:, None]
@@ -132,8 +136,7 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
 
     got = first.select("lang", "text", "spot").mapInPandas(bits, "lang string, spot long, kind int, bits binary").toPandas()
     got = got.sort_values(["kind", "lang", "spot", "bits"], kind="stable")
-    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(-1, DIM // 8), axis=1) if len(got) else np.zeros((0, DIM), np.uint8)
-    return fit(x, got["lang"].tolist())
+    return fit(np.frombuffer(b"".join(got["bits"]), np.uint8).reshape(-1, DIM // 8), got["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
