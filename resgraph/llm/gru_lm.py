@@ -7,13 +7,16 @@ of the counts. So that the network meets unseen tokens in training, half of the
 unseen; an unseen token has one share among as many types as have count 1, so the probabilities sum to 1 at most.
 
 The network embeds the symbol before, updates a gated recurrent unit, and has a class-factored softmax: a class, then a
-symbol of the class. Training is by truncated backpropagation through time: consecutive windows of WINDOW tokens that
-hold every token of every training document, in chunks of CHUNK between which the state is carried on but not the gradient, by Adam. In each of
-ROUNDS rounds workers start from the same weights, take their own windows, and their weights are averaged. Scoring runs
-over whole documents, all documents of a block side by side, with the state carried from a document's start to its end.
+symbol of the class. Training reads every token of every training document, in ROUNDS rounds of as many tokens: in each,
+workers start from the same weights, lay their documents end to end in streams side by side, and pass over them by
+truncated backpropagation through time with Adam. From one chunk of CHUNK tokens to the next the state is carried on, the
+gradient is not; a document's start clears the state. Workers' weights are averaged by a tree of fixed fan-in. Scoring
+runs over whole documents, all documents of a block side by side, with the state carried from a document's start to its
+end. Documents of more than PIECE tokens are several pieces in training, each from a cleared state; scoring never cuts.
 
 Null and empty texts have the end token only. An empty training set gives N = V = 0 and the network's first weights.
-Repeated rows are scored each and count each. A null id counts as empty text in the hash. Extra columns aren't read.
+Repeated rows are scored each and count each. A null id counts as empty text in the hash. Ties of counts go to the token
+first in code point order. An empty table gives no rows. Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ from resgraph.llm.common import staged
 
 SHORT, CLASSES = 2000, 45
 EMBED, HIDDEN = 24, 32
-WINDOW, CHUNK = 64, 32
-ROUNDS, BATCH, RATE, LEAST_STEPS = 3, 64, 0.01, 30
-WORKER_WINDOWS = 6000
+CHUNK, PIECE = 32, 4096
+ROUNDS, STREAMS, RATE, LEAST_STEPS = 3, 256, 0.01, 30
+WORKER_TOKENS = 1_500_000  # of a round
+FAN_IN = 16
 END = ""
 BIT = 12  # of a packed value: symbol below, count above
 
@@ -87,7 +91,7 @@ class Net:
         self.symbols = symbols
         self.cls = np.repeat(np.arange(k), np.diff(symbols.starts))
         mass = symbols.mass.astype(np.float64)
-        mass[symbols.band[:2]] = mass[symbols.band[:2]].sum() / 2  # as the windows have them
+        mass[symbols.band[:2]] = mass[symbols.band[:2]].sum() / 2  # as the pieces have them
         p = (mass + 0.5) / (mass.sum() + 0.5 * n)
         by_class = np.bincount(self.cls, weights=p, minlength=k)
 
@@ -109,13 +113,21 @@ class Net:
             self.w[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.w
-        a, g = w["e"][before] @ w["x"] + w["b"], h @ w["h"]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
-        r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        cand = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        return (1 - z) * cand + z * h, r, z, cand, g[:, 2 * HIDDEN :]
+    def inputs(self) -> np.ndarray:
+        """What each symbol adds to the gates."""
+        return self.w["e"] @ self.w["x"] + self.w["b"]
+
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after h with the inputs a, and what its gradient needs."""
+        g = h @ self.w["h"]
+        gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        r, z, gh = gates[:, :HIDDEN], gates[:, HIDDEN:], g[:, 2 * HIDDEN :]
+        cand = np.tanh(a[:, 2 * HIDDEN :] + r * gh)
+        return cand + z * (h - cand), r, z, cand, gh
 
     def log_prob(self, h: np.ndarray, symbol: np.ndarray, grad: bool = False):
         """Natural log of P(symbol | h); with grad, also the gradients of minus its sum."""
@@ -151,59 +163,71 @@ class Net:
                 g["o"][s:t], g["ob"][s:t] = d.T @ hk, d.sum(axis=0)
         return (out, dh, g) if grad else out
 
-    def gradients(self, before: np.ndarray, symbol: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Of one chunk (windows by positions): mean gradients, the state after it, the mean loss."""
-        w, kept, states = self.w, [], []
+    def gradients(self, before: np.ndarray, symbol: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Of one chunk (streams by positions): mean gradients, the state after it, the mean loss; keep is 0 where a document starts."""
+        w, kept = self.w, []
         n, t = symbol.shape
+        inputs = self.inputs()
+        states = np.empty((t, n, HIDDEN), inputs.dtype)
         for k in range(t):
-            new, r, z, cand, gh = self.step(before[:, k], h)
-            kept.append((h, r, z, cand, gh))
-            states.append(new)
-            h = new
-        flat = np.stack(states, axis=1).reshape(n * t, HIDDEN)
-        out, dflat, g = self.log_prob(flat, symbol.reshape(-1), True)
-        d_all = dflat.reshape(n, t, HIDDEN)
-        g |= {k: np.zeros_like(w[k]) for k in ("e", "x", "h", "b")}
-        dh = np.zeros((n, HIDDEN), np.float32)
+            if keep is not None:
+                h = h * keep[:, k, None]
+            new, *rest = self.step(inputs[before[:, k]], h)
+            kept.append((h, *rest))
+            states[k] = h = new
+        out, dflat, g = self.log_prob(states.reshape(n * t, HIDDEN), symbol.T.reshape(-1), True)
+        d_all = dflat.reshape(t, n, HIDDEN)
+        da, dg = np.empty((t, n, 3 * HIDDEN), inputs.dtype), np.empty((t, n, 3 * HIDDEN), inputs.dtype)
+        dh = np.zeros((n, HIDDEN), inputs.dtype)
         for k in range(t - 1, -1, -1):
             prev, r, z, cand, gh = kept[k]
-            dh = dh + d_all[:, k]
+            dh = dh + d_all[k]
             dcand = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (prev - cand) * z * (1 - z)
-            dr = dcand * gh * r * (1 - r)
-            da = np.concatenate([dr, dz, dcand], axis=1)
-            dg = np.concatenate([dr, dz, dcand * r], axis=1)
-            x = w["e"][before[:, k]]
-            g["x"] += x.T @ da
-            g["b"] += da.sum(axis=0)
-            g["h"] += prev.T @ dg
-            np.add.at(g["e"], before[:, k], da @ w["x"].T)
-            dh = dh * z + dg @ w["h"].T
+            da[k, :, :HIDDEN] = dcand * gh * r * (1 - r)
+            da[k, :, HIDDEN : 2 * HIDDEN] = dh * (prev - cand) * z * (1 - z)
+            da[k, :, 2 * HIDDEN :] = dcand
+            dg[k, :, : 2 * HIDDEN] = da[k, :, : 2 * HIDDEN]
+            dg[k, :, 2 * HIDDEN :] = dcand * r
+            dh = dh * z + dg[k] @ w["h"].T
+            if keep is not None:
+                dh *= keep[:, k, None]
+        g["h"] = np.concatenate([x[0] for x in kept]).T @ dg.reshape(n * t, -1)
+        # gradients of the inputs, summed by symbol, give those of the embedding and its weights
+        by = before.T.reshape(-1)
+        order = np.argsort(by, kind="stable")
+        seen, first = np.unique(by[order], return_index=True)
+        d_in = np.add.reduceat(da.reshape(n * t, -1)[order], first, axis=0)
+        g["b"], g["x"], g["e"] = d_in.sum(axis=0), w["e"][seen].T @ d_in, np.zeros_like(w["e"])
+        g["e"][seen] = d_in @ w["x"].T
         return {k: v / (n * t) for k, v in g.items()}, h, -float(out.mean())
 
-    def train(self, windows: np.ndarray, steps: int, seed: int, rate: float = RATE) -> float:
-        """Adam over windows (rows of WINDOW + 1 symbols, the first being the one before), at least one pass."""
-        rng = np.random.default_rng(seed)
+    def train(self, pieces: list[np.ndarray], steps: int, rate: float = RATE) -> float:
+        """Adam over pieces (the symbol before, then symbols), one pass, or more until there are ``steps`` steps."""
+        before = np.concatenate([p[:-1] for p in pieces]).astype(np.int64)
+        symbol = np.concatenate([p[1:] for p in pieces]).astype(np.int64)
+        keep = np.ones(len(symbol), np.float32)
+        keep[np.cumsum([0, *(len(p) - 1 for p in pieces[:-1])])] = 0
+        # streams side by side; few tokens make few streams, so that there are steps to take; the last is filled from the first
+        streams = int(np.clip(len(symbol) // (steps * CHUNK), 16, STREAMS))
+        long = -(-len(symbol) // streams)
+        before, symbol, keep = (np.resize(x, (streams, long)) for x in (before, symbol, keep))
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
-        per = -(-len(windows) // BATCH)
+        per = -(-long // CHUNK)
+        passes = max(1, -(-steps // per))
         done, loss = 0, 0.0
-        while done < max(per, steps):
-            order = rng.permutation(len(windows))
-            for i in range(0, len(order), BATCH):
-                batch = windows[order[i : i + BATCH]]
-                h = np.zeros((len(batch), HIDDEN), np.float32)
+        for _ in range(passes):
+            h = np.zeros((streams, HIDDEN), np.float32)
+            for c in range(0, long, CHUNK):
+                at = slice(c, c + CHUNK)
+                g, h, loss = self.gradients(before[:, at], symbol[:, at], h, keep[:, at])
                 done += 1
-                now = rate * max(0.1, 1 - done / max(per, steps))
-                for c in range(0, WINDOW, CHUNK):
-                    g, h, loss = self.gradients(batch[:, c : c + CHUNK], batch[:, c + 1 : c + CHUNK + 1], h)
-                    for k, x in g.items():
-                        m[k] += 0.1 * (x - m[k])
-                        v[k] += 0.001 * (x * x - v[k])
-                        fix = (1 - 0.999 ** (2 * done)) ** 0.5 / (1 - 0.9 ** (2 * done))
-                        self.w[k] -= (now * fix) * m[k] / (np.sqrt(v[k]) + 1e-8)
-                if done >= max(per, steps):
-                    break
+                now = rate * max(0.1, 1 - done / (per * passes))
+                fix = now * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
+                for k, x in g.items():
+                    m[k] += 0.1 * (x - m[k])
+                    v[k] += 0.001 * (x * x - v[k])
+                    self.w[k] -= fix * m[k] / (np.sqrt(v[k]) + 1e-8)
         return loss
 
     def score(self, symbol: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -213,13 +237,14 @@ class Net:
         starts = (np.cumsum(lengths) - lengths)[order]
         sizes = lengths[order]
         h = np.zeros((len(lengths), HIDDEN), np.float32)
+        inputs = self.inputs()
         before = np.full(len(lengths), self.start)
         held, where, total = [], [], 0
         alive = len(lengths)
         for t in range(int(sizes[0]) if len(sizes) else 0):
             while sizes[alive - 1] <= t:
                 alive -= 1
-            h = self.step(before[:alive], h[:alive])[0]
+            h = self.step(inputs[before[:alive]], h[:alive])[0]
             at = starts[:alive] + t
             before = symbol[at]
             held.append(h)
@@ -235,8 +260,8 @@ class Net:
         return out
 
 
-def _windows(start: int, symbols: Symbols):
-    """Training windows of a block: each training document whole; a last window that would be short begins earlier."""
+def _pieces(start: int, symbols: Symbols):
+    """Training pieces of a block: every token of each training document once, PIECE at a time, after the symbol before."""
     once, unseen = int(symbols.band[1]), int(symbols.band[0])
 
     def make(docs: pd.DataFrame, value: np.ndarray, doc: np.ndarray, freq: np.ndarray) -> pd.DataFrame:
@@ -251,49 +276,52 @@ def _windows(start: int, symbols: Symbols):
             said = np.concatenate([[start], symbol[at : at + k]]).astype("<u2")
             if zlib.crc32(f"unseen/{id}/{i}".encode()) & 1:
                 said[said == once] = unseen
-            for j in range(0, k, WINDOW):
-                spot = zlib.crc32(f"{id}/{j}/{i}".encode())
-                begin = max(0, min(j, k - WINDOW))
-                cut = said[begin : begin + WINDOW + 1]
-                if len(cut) < WINDOW + 1:  # short texts go on from their start
-                    cut = np.concatenate([cut, np.resize(said[1:], WINDOW + 1 - len(cut))])
-                rows.append((spot, cut.tobytes()))
-        return pd.DataFrame(rows, columns=["spot", "symbols"]).astype({"spot": "int64"})
+            for j in range(0, k, PIECE):
+                cut = said[j : j + PIECE + 1]
+                rows.append((zlib.crc32(f"{id}/{j}/{i}".encode()), len(cut) - 1, cut.tobytes()))
+        return pd.DataFrame(rows, columns=["spot", "n", "symbols"]).astype({"spot": "int64", "n": "int64"})
 
     return make
 
 
+def _average(group: pd.DataFrame) -> pd.DataFrame:
+    """Weights of several workers, weighed by their tokens; in a fixed order, so that reruns agree."""
+    group = group.sort_values("part", kind="stable")
+    total = sum(np.frombuffer(f, np.float32).astype(np.float64) * n for f, n in zip(group["flat"], group["n"], strict=True))
+    n = float(group["n"].sum())
+    return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN_IN], "n": [n], "flat": [(total / n).astype(np.float32).tobytes()]})
+
+
 def fit(table: DataFrame, values: DataFrame, symbols: Symbols) -> Net:
-    """Train on the windows of all training documents, by averaging workers."""
+    """Train on all training documents, by averaging workers."""
     net = Net(symbols)
-    windows = staged(blockdict.finish(table, values, _windows(net.start, symbols), "spot long, symbols binary"), "windows")
-    n = windows.count()
+    pieces = staged(blockdict.finish(table, values, _pieces(net.start, symbols), "spot long, n long, symbols binary"), "pieces")
+    n = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not n:
         return net
-    workers = max(1, -(-n // (WORKER_WINDOWS * ROUNDS)))
-    groups = min(workers, 16)
+    workers = max(1, -(-n // (WORKER_TOKENS * ROUNDS)))
     mixed = F.xxhash64("spot", "symbols")
-    dealt = windows.select("symbols", F.pmod(mixed, F.lit(workers)).cast("int").alias("worker"), F.pmod(F.shiftrightunsigned(mixed, 24), F.lit(ROUNDS)).cast("int").alias("round"))
+    dealt = pieces.select("spot", "symbols", F.pmod(mixed, F.lit(workers)).cast("int").alias("worker"), F.pmod(F.shiftrightunsigned(mixed, 24), F.lit(ROUNDS)).cast("int").alias("round"))
+
     def worker(flat: np.ndarray, turn: int):
         def work(group: pd.DataFrame) -> pd.DataFrame:
             mine = Net(symbols)
             mine.set(flat)
-            data = np.frombuffer(b"".join(sorted(group["symbols"])), "<u2").reshape(-1, WINDOW + 1).astype(np.int64)
-            mine.train(data, LEAST_STEPS, turn, RATE * (1 - turn / (ROUNDS + 1)))
-            return pd.DataFrame({"part": [int(group["worker"].iloc[0]) % groups], "n": [float(len(data))], "flat": [mine.flat().tobytes()]})
+            data = [np.frombuffer(x, "<u2") for x in group.sort_values(["spot", "symbols"])["symbols"]]
+            mine.train(data, LEAST_STEPS, RATE * (1 - turn / (ROUNDS + 1)))
+            return pd.DataFrame({"part": [int(group["worker"].iloc[0])], "n": [float(sum(len(x) - 1 for x in data))], "flat": [mine.flat().tobytes()]})
 
         return work
 
-    def average(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(f, np.float32).astype(np.float64) * n for f, n in zip(group["flat"], group["n"], strict=True))
-        return pd.DataFrame({"n": [group["n"].sum()], "flat": [total.tobytes()]})
-
     for turn in range(ROUNDS):
-        rows = dealt.where(F.col("round") == turn).groupBy("worker").applyInPandas(worker(net.flat(), turn), "part int, n double, flat binary")
-        parts = rows.groupBy("part").applyInPandas(average, "n double, flat binary").collect()
-        if parts:
-            parts = sorted(parts, key=lambda p: p["flat"])
-            net.set(sum(np.frombuffer(p["flat"], np.float64) for p in parts) / sum(p["n"] for p in parts))
+        rows = staged(dealt.where(F.col("round") == turn).groupBy("worker").applyInPandas(worker(net.flat(), turn), "part int, n double, flat binary"), "weights")
+        left = workers
+        while left > 1:
+            rows = staged(rows.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(_average, "part int, n double, flat binary"), "weights")
+            left = -(-left // FAN_IN)
+        best = rows.select("flat").first()
+        if best is not None:
+            net.set(np.frombuffer(best["flat"], np.float32))
     return net
 
 
