@@ -16,6 +16,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -192,8 +193,9 @@ class Encoder:
         for content, i in self.special.items():
             self.labels[i] = content
         self._raw = [x.encode() for x in self.labels]
-        self._special_raw = {c: (np.array([i], "<u4").tobytes(), c.encode()) for c, i in self.special.items()}
-        self._runs: dict[str, tuple[bytes, bytes]] = {}
+        self._special_ids = {c: np.array([i], "<u4").tobytes() for c, i in self.special.items()}
+        self._opening = commonprefix(list(self.special))  # a text without it has no special string
+        self._runs: dict[str, bytes] = {}
         self._library = Tokenizer.from_file(path)  # splits texts with rare characters, whose classes differ by Unicode version
 
     @staticmethod
@@ -203,8 +205,8 @@ class Encoder:
             return text.lower()
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def _pieces(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and labels of pre-split words, by the automaton in batches of like length."""
+    def _pieces(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of pre-split words, by the automaton in batches of like length."""
         new, out, i = sorted(words, key=len), {}, 0
         while i < len(new):
             part, total = [], 0
@@ -213,14 +215,14 @@ class Encoder:
                 total += len(new[i])
                 i += 1
             ids, n = self.automaton.encode_words([w.encode() for w in part])
-            packed, listed, at = ids.astype("<u4").tobytes(), ids.tolist(), 0
+            packed, at = ids.astype("<u4").tobytes(), 0
             for w, k in zip(part, n.tolist(), strict=True):
-                out[w] = (packed[4 * at : 4 * (at + k)], b" ".join([self._raw[t] for t in listed[at : at + k]]))
+                out[w] = packed[4 * at : 4 * (at + k)]
                 at += k
         return out
 
     def _learn(self, runs: set[str]) -> None:
-        """Keep ids and labels of runs between white space; a run's words are pre-split by the pattern."""
+        """Keep the ids of runs between white space; a run's words are pre-split by the pattern."""
         new = [r for r in runs if r not in self._runs]
         if len(self._runs) + len(new) > CACHE_WORDS:
             self._runs.clear()
@@ -228,21 +230,21 @@ class Encoder:
         split = [_split.findall(r) for r in new]
         known = self._pieces(set().union(*split)) if split else {}
         for r, words in zip(new, split, strict=True):
-            self._runs[r] = (b"".join([known[w][0] for w in words]), b" ".join([known[w][1] for w in words]))
+            self._runs[r] = b"".join([known[w] for w in words])
 
     def _odd_runs(self, text: str) -> list[str]:
         """Words of a text with characters that libraries may class differently: split as the vocabulary's library does."""
         whole = self._library.normalizer.normalize_str(text)
         return [whole[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(whole)]
 
-    def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Of each text: ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text: ids as little-endian 32-bit integers."""
         plain: list[list[str]] = []
-        parts: list[list[tuple[int, object]]] = []  # of each text: runs of plain text, words of odd text, special ids
+        parts: list[list[tuple[int, list[str]]]] = []  # of each text: runs of plain text, words of odd text, special strings
         odd: set[str] = set()
         for text in texts:
-            mine: list[tuple[int, object]] = []
-            for i, piece in enumerate(self._cut.split(text or "") if self._cut and "<|" in (text or "") else [text or ""]):
+            mine: list[tuple[int, list[str]]] = []
+            for i, piece in enumerate(self._cut.split(text or "") if self._cut and self._opening in (text or "") else [text or ""]):
                 if i % 2:
                     mine.append((2, [piece]))
                 elif _unsure.search(piece):
@@ -253,20 +255,12 @@ class Encoder:
                     mine.append((0, plain[-1]))
             parts.append(mine)
         self._learn(set().union(*plain))
-        where = (self._runs, self._pieces(odd), self._special_raw)
-        out = []
-        for mine in parts:
-            ids, said = [], []
-            for kind, what in mine:
-                got = list(map(where[kind].__getitem__, what))
-                ids += [g[0] for g in got]
-                said += [g[1] for g in got]
-            out.append((b"".join(ids), b" ".join(said)))
-        return out
+        where = (self._runs, self._pieces(odd), self._special_ids)
+        return [b"".join([x for kind, what in mine for x in map(where[kind].__getitem__, what)]) for mine in parts]
 
-    def decode(self, ids: list[int]) -> str:
-        """Arc labels in order, parted by single spaces as the library does where a vocabulary names no decoder."""
-        return " ".join(self.labels[i] for i in ids)
+    def decode(self, ids: bytes) -> bytes:
+        """The arc labels of ids in order, parted by single spaces as the library does where a vocabulary names no decoder."""
+        return b" ".join(map(self._raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -295,15 +289,16 @@ def chunks(texts: list[str | None], most: int = 4_000_000):
 def encode(docs: DataFrame, path: str, text: str = "text", name: str = "bpe", ids: bool = True) -> DataFrame:
     """docs with a struct column ``name``: n_tokens, ids (binary: little-endian 32-bit; if asked for), decoded text's and ids' sha256.
 
-    A null text is encoded as an empty one: no ids. No other column is read.
+    A null text is encoded as an empty one: no ids. Very long texts are encoded whole, by themselves. Repeated rows are coded
+    each; ties can't arise. An empty table gives no rows. No other column is read; one called ``name`` is replaced.
     """
 
     def run(texts: pd.Series) -> pd.DataFrame:
         e = encoder(path)
         rows = []
         for part in chunks(texts.tolist()):
-            for i, d in e.encode_many(part):
-                rows.append((len(i) // 4, i if ids else None, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest()))
+            for i in e.encode_many(part):
+                rows.append((len(i) // 4, i if ids else None, hashlib.sha256(i).hexdigest(), hashlib.sha256(e.decode(i)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     udf = F.pandas_udf(run, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").asNondeterministic()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from os.path import commonprefix
 
 import public_tokenizers
 import regex
@@ -38,6 +39,7 @@ class ByteBpe:
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._opening = commonprefix(list(self.special)) if self.special else None  # a text without it has no special string
         self._model = self.library.model
         self._bytes = dict(enumerate(byte_symbols()))
         self._runs: dict[str, bytes] = {}
@@ -53,7 +55,7 @@ class ByteBpe:
     def pretokens(self, text: str) -> list[str]:
         """The pre-tokens of a whole text; special strings stand for themselves."""
         out: list[str] = []
-        for i, piece in enumerate(self._cut.split(text) if self._cut and "<|" in text else [text]):
+        for i, piece in enumerate(self._cut.split(text) if self._cut and self._opening in text else [text]):
             if i % 2:
                 out.append(piece)
             elif _unsure.search(piece):  # classes differ by Unicode version: as the library splits
@@ -64,7 +66,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
-        if "<|" in text or _unsure.search(text) or _spaces.search(text):
+        if (self._cut and self._opening in text) or _unsure.search(text) or _spaces.search(text):
             out = array("I")
             for p in self.pretokens(text):
                 out.extend([self.special[p]] if p in self.special else self.ids(p))

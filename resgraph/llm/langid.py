@@ -8,7 +8,8 @@ scored by two matrix products: presence by landmarks, kernel by coefficients.
 Null or empty texts and those without a letter get ``und`` and score 0, as do all texts where nothing could be learned.
 The score is the winning output mapped from [-1, 1] to [0, 1]. Ties go to the language first in code point order.
 Training takes at most ``per_language`` texts of each language, those of least hash of id, whole and one slice of each;
-everything else is read once, whole.
+everything else is read once, whole, however long. Repeated rows are judged each and may be learned from each. An empty
+table gives no rows. Extra columns aren't read; one of the result's name is replaced.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger: each rule is evaluated once, policies and ablations are bit arithmetic.
 
 Measurements of a text (null: as empty): words are runs of other than ASCII white space.
-Empty text measures 0 everywhere and fails ``few_words``. Ties, repeated rows and extra columns don't matter:
-the ledger is a column of each row, and no other column is read.
+Empty text measures 0 everywhere and fails ``few_words``; very long texts are measured whole. Ties and repeated rows don't
+matter: the ledger is a column of each row, no other column is read, and one of the ledger's name is replaced. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
