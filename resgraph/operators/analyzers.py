@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resgraph.functions import text as T
+from resgraph.session import cut
 
 DEAD_AFTER = (r"exit\s*\(\s*\)", r"return\b(?!\s*\()", r"room_goto\s*\(", r"room_restart\s*\(\s*\)", r"game_end\s*\(\s*\)", r"game_restart\s*\(\s*\)", r"show_debug_message\s*\(", r"show_error\s*\(")
 NEVER_TRUE = (r"global\.flag\[\d+\]\s*==\s*-1", r"global\.flag\[\d+\]\s*<\s*0", r"global\.plot\s*==\s*-1", r"false\s*(?:&&|\|\|)\s*true", r"true\s*&&\s*false")
@@ -67,12 +68,12 @@ class Analyzers:
         events = p.events.select(F.lit("OBJECT").alias("kind"), F.col("object").alias("name"), F.concat(F.lit("Event: "), "key").alias("context"), "code")
         scripts = p.scripts.select(F.lit("SCRIPT"), "name", F.lit(""), "code")
         rooms = p.rooms.where("creation_code <> ''").select(F.lit("ROOM"), "name", F.lit(""), "creation_code")
-        return events.union(scripts).union(rooms).persist()
+        return cut(events.union(scripts).union(rooms))
 
     @cached_property
     def refs(self) -> DataFrame:
         """(kind, name, context, what, target): every match of every pattern."""
-        return T.extract(self.units).persist()
+        return cut(T.extract(self.units))
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -133,7 +134,7 @@ class Analyzers:
     def _dead(self) -> DataFrame:
         sets = {"object": self.dead_objects, "room": self.dead_rooms, "script": self.dead_scripts, "sound": self.dead_sounds, "sprite": self.dead_sprites}
         rows = [rows.select(F.lit(kind).alias("kind"), "name") for kind, rows in sets.items()]
-        return reduce(DataFrame.union, [*rows, self.dead_dialogues.select(F.lit("dialogue"), "id")]).persist()
+        return cut(reduce(DataFrame.union, [*rows, self.dead_dialogues.select(F.lit("dialogue"), "id")]))
 
     # -- the analyzers -----------------------------------------------------------------------------------------------
     def callgraph(self) -> DataFrame:
@@ -261,7 +262,7 @@ class Analyzers:
 
     @cached_property
     def _suspicious(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [f() for f in (self.callgraph, self.deadcode, self.flags, self.objects, self.rooms, self.scripts, self.sounds, self.sprites, self.dialogues, self.transition_findings, self.plots)]).persist()
+        return cut(reduce(DataFrame.unionByName, [f() for f in (self.callgraph, self.deadcode, self.flags, self.objects, self.rooms, self.scripts, self.sounds, self.sprites, self.dialogues, self.transition_findings, self.plots)]))
 
     def top(self, n: int = 100) -> DataFrame:
         return self.suspicious().orderBy(F.desc("score"), "analyzer", "name").limit(n)
@@ -275,6 +276,10 @@ class Analyzers:
 
     def edges(self) -> DataFrame:
         """(src, dst, label): one edge of a pair, the label of the last rule that gives one."""
+        return self._edges
+
+    @cached_property
+    def _edges(self) -> DataFrame:
         p = self.p
         call = self.refs.where((F.col("what") == "function") & (F.length("target") > 1) & ~reduce(Column.__or__, [F.col("target").startswith(x) for x in NOT_CALLS]))
         key = F.substring_index("context", "Event: ", -1)
@@ -294,4 +299,4 @@ class Analyzers:
         last = every.groupBy("src", "dst").agg(F.max(F.struct("rule", "label")).alias("last"))
         known = self.nodes().select("node_id").distinct()
         last = last.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-        return last.select("src", "dst", "last.label")
+        return cut(last.select("src", "dst", "last.label"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from resgraph.operators import resolve
 from resgraph.plans.graph import Graph, node, reachable, weak_components
 from resgraph.schema import SUSPICIOUS_NAMES, Game
+from resgraph.session import cut
 
 
 def suspicious_name(name: Column) -> Column:
@@ -127,7 +128,7 @@ class Engine:
     # -- reachability ------------------------------------------------------------------------------------------------
     def unreachable_rooms(self) -> DataFrame:
         """(id, name): rooms that no source of the room view reaches; all rooms where the view is empty."""
-        view = self.graph.view("room").persist()
+        view = cut(self.graph.view("room"))
         rooms = self.game.rooms.select("id", "name", node("room", "id").alias("node_id"))
         sources = view.select(F.col("src").alias("node_id")).distinct().join(view.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
         lost = rooms.join(reachable(view, sources), "node_id", "left_anti")
@@ -204,7 +205,7 @@ class Engine:
         """(metric, n): nodes, edges, and nodes, edges and weak components of the room and call views."""
         parts = [self.graph.nodes.agg(F.lit("nodes").alias("metric"), F.count("*").alias("n")), self.graph.edges.agg(F.lit("edges"), F.count("*"))]
         for name in ("room", "call"):
-            view = self.graph.view(name).persist()
+            view = cut(self.graph.view(name))
             ends = view.select("src").union(view.select("dst")).distinct()
             parts += [ends.agg(F.lit(f"{name}_nodes"), F.count("*")), view.agg(F.lit(f"{name}_edges"), F.count("*"))]
             if name == "room":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resgraph.schema import CALLS, EVENT_TYPES, FUNCTION_CLASSES, OWNER_EVENT, OWNER_GLOBAL, OWNER_ROOM, OWNER_SCRIPT, OWNER_SEQUENCE, OWNER_TIMELINE, OWNER_UNKNOWN, PASSED_OVER, Game
+from resgraph.session import cut
 
 
 def is_call(opcode: Column) -> Column:
@@ -22,11 +23,27 @@ def last_by_name(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max("id").alias("id"))
 
 
-def look_back(instructions: DataFrame, k: int) -> DataFrame:
-    """instructions with arg (opcode, value_int, value_str): the nearest of the k before that isn't passed over."""
-    w = Window.partitionBy("code_id").orderBy("pos").rowsBetween(-k, -1)
-    shown = F.when(~F.col("opcode").isin(*PASSED_OVER), F.struct("opcode", "value_int", "value_str"))
-    return instructions.withColumn("arg", F.last(shown, ignorenulls=True).over(w))
+def looked(game: Game) -> DataFrame:
+    """instructions with the results of all look-backs, by one join and one sort, written once for all rules that read them.
+
+    arg4 and arg7 (opcode, value_int, value_str) are the nearest of the 4 and 7 instructions before that aren't passed over;
+    room_id is the room that the nearest of the 14 before that pushes a room's name names.
+    """
+    if "_looked" not in game.__dict__:
+        rooms = last_by_name(game.rooms).select(F.col("name").alias("r_name"), F.col("id").alias("pushed_room"))
+        names_room = (F.col("opcode") == "PUSHSTR") & (F.col("value_str_id") >= 0) & (F.col("value_str") == F.col("r_name"))
+        rows = game.instructions.join(rooms, names_room, "left")
+        w = Window.partitionBy("code_id").orderBy("pos")
+        shown = F.when(~F.col("opcode").isin(*PASSED_OVER), F.struct("opcode", "value_int", "value_str"))
+        args = [F.last(shown, ignorenulls=True).over(w.rowsBetween(-k, -1)).alias(f"arg{k}") for k in (4, 7)]
+        rows = rows.select(*game.instructions.columns, *args, F.last("pushed_room", ignorenulls=True).over(w.rowsBetween(-14, -1)).alias("room_id"))
+        game.__dict__["_looked"] = cut(rows)
+    return game.__dict__["_looked"]
+
+
+def look_back(game: Game, k: int) -> DataFrame:
+    """instructions with arg: the nearest of the k (4 or 7) before that isn't passed over."""
+    return looked(game).withColumn("arg", F.col(f"arg{k}")).drop("arg4", "arg7", "room_id")
 
 
 def owners(game: Game) -> DataFrame:
@@ -97,7 +114,7 @@ def function_classes(functions: DataFrame) -> DataFrame:
 
 def flag_uses(game: Game) -> DataFrame:
     """(code_id, pos, flag, access): calls of flag functions; flag is -1 where the index isn't a constant."""
-    seen = look_back(game.instructions, 4).where(is_call(F.col("opcode")))
+    seen = look_back(game, 4).where(is_call(F.col("opcode")))
     used = seen.join(function_classes(game.functions).where("flag is not null").select(F.col("func_id").alias("value_func_id"), F.col("flag").alias("access")), "value_func_id")
     arg = F.col("arg")
     index = F.when(arg["opcode"] == "PUSHI", arg["value_int"]).when(arg["opcode"] == "PUSHSTR", F.trim(arg["value_str"]).try_cast("long"))
@@ -106,11 +123,7 @@ def flag_uses(game: Game) -> DataFrame:
 
 def room_transitions(game: Game) -> DataFrame:
     """(code_id, pos, room_id): for each call, the nearest of the 14 instructions before that pushes a room's name."""
-    rooms = last_by_name(game.rooms).select(F.col("name").alias("value_str"), F.col("id").alias("pushed_room"))
-    pushed = game.instructions.select("code_id", "pos", "opcode", F.when((F.col("opcode") == "PUSHSTR") & (F.col("value_str_id") >= 0), F.col("value_str")).alias("value_str"))
-    w = Window.partitionBy("code_id").orderBy("pos").rowsBetween(-14, -1)
-    seen = pushed.join(rooms, "value_str", "left").withColumn("room_id", F.last("pushed_room", ignorenulls=True).over(w))
-    return seen.where(is_call(F.col("opcode")) & F.col("room_id").isNotNull()).select("code_id", "pos", "room_id")
+    return looked(game).where(is_call(F.col("opcode")) & F.col("room_id").isNotNull()).select("code_id", "pos", "room_id")
 
 
 def object_arguments(game: Game, seen: DataFrame) -> DataFrame:

@@ -27,17 +27,17 @@ SHOW = ("scr_Dialogue", "scr_Dialogue_String", "scr_Dialogue_Name", "show_messag
 def object_states(game: Game) -> DataFrame:
     """(object_id, name, mask, alive, labels) of every object."""
     ids = game.objects.select(F.col("id").alias("o_id"))
-    i = game.instructions
+    i = resolve.looked(game)
     classes = resolve.function_classes(game.functions)
 
     def mark(rows: DataFrame, column: str, *states: str) -> DataFrame:
         return rows.select(F.col(column).cast("long").alias("object_id"), F.lit(sum(BIT[s] for s in states)).cast("long").alias("bit"))
 
     made = i.where("opcode = 'INSTANTIATE'").join(ids, F.col("value_int") == F.col("o_id"))
-    seen = resolve.look_back(i, 7).where(resolve.is_call(F.col("opcode"))).join(classes, F.col("value_func_id") == F.col("func_id"))
+    seen = resolve.look_back(game, 7).where(resolve.is_call(F.col("opcode"))).join(classes, F.col("value_func_id") == F.col("func_id"))
     named = (F.col("arg.opcode") != "PUSHSTR") | F.col("arg.value_str").rlike("^(obj_|_)")
     created = resolve.object_arguments(game, seen.where("creation or execute").where(named))
-    near = resolve.look_back(i, 4)
+    near = resolve.look_back(game, 4)
     asked = near.where(resolve.is_call(F.col("opcode"))).join(classes.where("asset"), F.col("value_func_id") == F.col("func_id")).where(F.col("arg.value_str").rlike("^(obj_|_)"))
     asked = resolve.named_arguments(asked, game.objects)
     within = near.where("opcode = 'WITH' and arg.opcode = 'PUSHI'").join(ids, F.col("arg.value_int") == F.col("o_id"))

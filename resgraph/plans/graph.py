@@ -69,11 +69,11 @@ def _transition_edges(game: Game) -> list[DataFrame]:
 
 
 def _bytecode_edges(game: Game) -> list[DataFrame]:
-    i = game.instructions
+    i = resolve.looked(game)
     code, pos = node("code", "code_id"), F.col("pos")
     ids = game.objects.select(F.col("id").alias("o_id"))
     direct = i.where(F.col("opcode").isin("INSTANTIATE", "PUSHI")).join(ids, F.col("value_int") == F.col("o_id"))
-    seen = resolve.look_back(i, 7)
+    seen = resolve.look_back(game, 7)
     called = seen.where(resolve.is_call(F.col("opcode"))).join(resolve.function_classes(game.functions), F.col("value_func_id") == F.col("func_id"), "left")
     makes = F.coalesce(F.col("creation") | F.col("execute"), F.lit(False))
     within = seen.where("opcode = 'WITH' and arg.opcode = 'PUSHI'").join(ids, F.col("arg.value_int") == F.col("o_id"))
@@ -120,28 +120,38 @@ def build_nodes(game: Game) -> DataFrame:
 class Graph:
     """Nodes and edges with the read API; edges may name nodes that don't exist, as in the package."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, game: Game | None = None):
+        self._nodes, self._edges, self._game = nodes, edges, game
 
     @classmethod
-    def of(cls, game: Game, keep: bool = True) -> Graph:
-        """The graph of a package; kept in memory and on disk, as every query traverses it."""
-        nodes, edges = build_nodes(game), build_edges(game)
-        return cls(nodes.persist(), edges.persist()) if keep else cls(nodes, edges)
+    def of(cls, game: Game) -> Graph:
+        """The graph of a package; nodes and edges are written once, when a query first reads them."""
+        return cls(game=game)
+
+    @property
+    def nodes(self) -> DataFrame:
+        if self._nodes is None:
+            self._nodes = cut(build_nodes(self._game))
+        return self._nodes
+
+    @property
+    def edges(self) -> DataFrame:
+        if self._edges is None:
+            self._edges = cut(build_edges(self._game))
+        return self._edges
 
     def find(self, type: str, pattern: str | None = None) -> DataFrame:
         out = self.nodes.where(F.col("type") == type)
         return out if pattern is None else out.where(F.lower("name").contains(pattern.lower()))
 
-    def _ends(self, *ends: str) -> DataFrame:
-        out = self.edges
+    def _ends(self, out: DataFrame, *ends: str) -> DataFrame:
         for end in ends:
             about = self.nodes.select(F.col("node_id").alias(end), F.col("type").alias(f"{end}_type"), F.col("name").alias(f"{end}_name"))
             out = out.join(about, end, "left")
         return out
 
     def find_edges(self, relation: str) -> DataFrame:
-        return Graph(self.nodes, self.edges.where(F.col("relation") == relation))._ends("src", "dst")
+        return self._ends(self.edges.where(F.col("relation") == relation), "src", "dst")
 
     def incoming(self, nodes: DataFrame, relation: str | None = None) -> DataFrame:
         """(node, relation, source, type, name, rule, seq): one row for each edge into a node of nodes (node_id)."""
@@ -154,7 +164,7 @@ class Graph:
     def _side(self, nodes: DataFrame, at: str, other: str, relation: str | None) -> DataFrame:
         chosen = self.edges if relation is None else self.edges.where(F.col("relation") == relation)
         chosen = chosen.join(nodes.select(F.col("node_id").alias(at)).distinct(), at, "left_semi")
-        rows = Graph(self.nodes, chosen)._ends(other)
+        rows = self._ends(chosen, other)
         return rows.select(F.col(at).alias("node"), "relation", F.col(other).alias("source" if other == "src" else "target"), F.coalesce(f"{other}_type", F.lit("?")).alias("type"), F.coalesce(f"{other}_name", other).alias("name"), "rule", "seq")
 
     def neighbors(self, nodes: DataFrame) -> DataFrame:
@@ -192,16 +202,23 @@ class Graph:
         return self.edges.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(nodes.select(F.col("node_id").alias("dst")), "dst", "left_semi")
 
 
+def _seen(parts: list[DataFrame]) -> DataFrame:
+    """The union of all levels' tables, which are only ever appended; every eighth level writes them as one."""
+    if len(parts) >= 8:
+        parts[:] = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node_id) of all nodes reached from roots (node_id), roots included: one semi-naive search for all roots."""
-    edges = edges.select("src", "dst").distinct().persist()
-    seen = frontier = cut(roots.select("node_id").distinct())
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier = cut(roots.select("node_id").distinct())
+    parts = [frontier]
     while frontier.take(1):
         near = edges.join(frontier.withColumnRenamed("node_id", "src"), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        frontier = cut(near.join(seen, "node_id", "left_anti"))
-        seen = cut(seen.union(frontier))
-    edges.unpersist()
-    return seen
+        frontier = cut(near.join(_seen(parts), "node_id", "left_anti"))
+        parts.append(frontier)
+    return _seen(parts)
 
 
 def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -212,14 +229,15 @@ def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def shortest_path(edges: DataFrame, source: str, target: str) -> list[str]:
     """Nodes of a shortest path, of equal ones the one of least nodes; empty if there is none."""
-    edges = edges.select("src", "dst").distinct().persist()
-    seen = frontier = cut(edges.sparkSession.createDataFrame([(source, None, 0)], "node_id string, parent string, dist int"))
-    step = 0
+    edges = cut(edges.select("src", "dst").distinct())
+    frontier = cut(edges.sparkSession.createDataFrame([(source, None, 0)], "node_id string, parent string, dist int"))
+    parts, step = [frontier], 0
     while frontier.take(1) and not frontier.where(F.col("node_id") == target).take(1):
         step += 1
         near = edges.join(frontier.select(F.col("node_id").alias("src")), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("src").alias("parent"))
-        frontier = cut(near.join(seen, "node_id", "left_anti").withColumn("dist", F.lit(step)))
-        seen = cut(seen.unionByName(frontier))
+        frontier = cut(near.join(_seen(parts), "node_id", "left_anti").withColumn("dist", F.lit(step)))
+        parts.append(frontier)
+    seen = _seen(parts)
     path, at = [], target
     while at is not None:
         row = seen.where(F.col("node_id") == at).select("parent").first()
@@ -227,13 +245,12 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> list[str]:
             return []
         path.append(at)
         at = row["parent"]
-    edges.unpersist()
     return path[::-1]
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(node_id, component): the least node id that each node of edges is connected with."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().persist()
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     comp = cut(both.groupBy(F.col("src").alias("node_id")).agg(F.min("dst").alias("m")).select("node_id", F.least("node_id", "m").alias("component")))
     while True:
         near = both.join(comp.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("m"))
@@ -242,14 +259,13 @@ def weak_components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node_id").alias("c"), F.col("c").alias("cc"))
         new = cut(step.join(jump, "c", "left").select("node_id", F.least("c", F.coalesce("cc", "c")).alias("component")))
         if not new.join(comp.withColumnRenamed("component", "was"), "node_id").where("component <> was").take(1):
-            both.unpersist()
             return new
         comp = new
 
 
 def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
     """Simple cycles of at most ``longest`` nodes as (length, cycle), each once, from its least node on."""
-    edges = edges.select("src", "dst").distinct().persist()
+    edges = cut(edges.select("src", "dst").distinct())
     paths = edges.where("dst >= src").select(F.array("src", "dst").alias("path"))
     found = [paths.where("path[0] = path[1]")]
     paths = paths.where("path[0] < path[1]")

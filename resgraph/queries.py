@@ -143,7 +143,7 @@ _query("calls", GRAPH + "SELECT * FROM call")(_of(lambda e: resolve.calls(e.game
 _query("function_classes", GRAPH + "SELECT * FROM fclass")(_of(lambda e: resolve.function_classes(e.game.functions)))
 _query("flag_uses", GRAPH + "SELECT * FROM uses")(_of(lambda e: resolve.flag_uses(e.game)))
 _query("room_transitions", GRAPH + "SELECT code_id, pos, room_id FROM moves")(_of(lambda e: resolve.room_transitions(e.game)))
-_query("object_arguments", GRAPH + f"SELECT code_id, pos, oid AS object_id FROM obj_arg WHERE opcode IN {_calls}")(_of(lambda e: resolve.object_arguments(e.game, resolve.look_back(e.game.instructions, 7)).where(resolve.is_call(F.col("opcode"))).select("code_id", "pos", "object_id")))
+_query("object_arguments", GRAPH + f"SELECT code_id, pos, oid AS object_id FROM obj_arg WHERE opcode IN {_calls}")(_of(lambda e: resolve.object_arguments(e.game, resolve.look_back(e.game, 7)).where(resolve.is_call(F.col("opcode"))).select("code_id", "pos", "object_id")))
 # -- graph reads -------------------------------------------------------------------------------------------------------
 _query("edges", GRAPH + "SELECT src, dst, relation, rule, seq::BIGINT AS seq FROM edges")(_of(lambda e: e.graph.edges))
 _query("nodes", GRAPH + "SELECT node_id, type, name, id FROM nodes")(_of(lambda e: e.graph.nodes.select("node_id", "type", "name", "id")))

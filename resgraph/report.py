@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from resgraph.operators.analyzers import Analyzers
+from resgraph.session import cut
 
 #: Fill colours by node type.
 COLOURS = {"object": "lightblue", "room": "lightgreen", "script": "lightyellow", "sprite": "lightpink", "sound": "lavender", "font": "lightgrey"}
@@ -52,10 +53,10 @@ def to_dot(a: Analyzers, path: str, max_nodes: int = 500) -> None:
     """The nodes of most edges, and the edges between them."""
     e = a.edges()
     ends = e.select(F.col("src").alias("node_id")).union(e.select("dst")).groupBy("node_id").count()
-    most = a.nodes().join(ends, "node_id", "left").orderBy(F.desc_nulls_last("count"), "node_id").limit(max_nodes)
-    kept = most.select("node_id").persist()
+    most = cut(a.nodes().join(ends, "node_id", "left").orderBy(F.desc_nulls_last("count"), "node_id").limit(max_nodes))
+    kept = most.select("node_id")
     between = e.join(kept.withColumnRenamed("node_id", "src"), "src", "left_semi").join(kept.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
     lines = ["digraph G {"]
     lines += [f'  "{r["node_id"]}" [label="{r["node_id"].replace("_", chr(92) + "n")}", style=filled, fillcolor={COLOURS.get(r["type"], "white")}];' for r in most.orderBy("node_id").collect()]
-    lines += [f'  "{r["src"]}" -> "{r["dst"]}" [label="{r["label"]}"];' for r in between.orderBy("src", "dst").limit(20 * max_nodes).collect()]
+    lines += [f'  "{r["src"]}" -> "{r["dst"]}" [label="{r["label"]}"];' for r in between.orderBy("src", "dst").collect()]
     Path(path).write_text("\n".join([*lines, "}"]) + "\n")

@@ -1,22 +1,44 @@
-"""Session helpers: reliable lineage cuts for iterative plans."""
+"""Session helpers: tables in the shared folder that end the lineage of iterative plans."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the session has it; set a folder of our own only where there is none."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as the session has it; a folder of our own only on one machine, where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="resgraph-"))
+    if not found:
+        kept = sc._jsc.sc().getCheckpointDir()
+        found = kept.get() if kept.isDefined() else ""
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="resgraph-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as written to the shared checkpoint folder: one copy for later reads, and no lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written once to the shared folder: later reads prune its columns, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/resgraph-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session has ended
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from resgraph.operators.analyzers import Project
+from resgraph.session import cut
 
+#: Markers of events and properties in object files.
 _EVENT = r"(?i)^\s*//[/\s]*@event\s+(\w+)(?:\s+(.+))?"
 _MARK = r"(?i)^\s*//[/\s]*@(sprite|parent)\s+(.+)"
 
@@ -19,7 +21,8 @@ def read_project(spark: SparkSession, folder: str) -> Project:
     """The relations of a project folder: objects/, rooms/, scripts/, sprites/, sounds/, fonts/ and dialogue texts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
     root = "/" + folder.split("://")[-1].strip("/") + "/"
-    files = files.withColumn("rel", F.substring_index("path", root, -1)).persist()
+    files = files.withColumn("rel", F.substring_index("path", root, -1))
+    files = cut(files)  # each file is read once; all relations and what is built on them start from here
     object_files = files.where(F.col("rel").rlike(r"^objects/[^/]+\.(gml|txt)$")).withColumn("object", _stem(F.col("rel")))
     lines = object_files.select("object", F.posexplode(F.split("content", "\n")).alias("n", "line"))
     w = Window.partitionBy("object").orderBy("n")
@@ -50,4 +53,5 @@ def read_project(spark: SparkSession, folder: str) -> Project:
     id_line = F.when(F.trim("line").rlike(r"^(#\w+|msg_\w+|str_\w+|txt_\w+)$"), F.trim("line"))
     said = talk.withColumn("id", F.last(id_line, ignorenulls=True).over(Window.partitionBy("path").orderBy("n"))).withColumn("text", F.regexp_extract("line", r'"((?:[^"\\]|\\.)*)"', 1)).where("text <> '' and id is not null")
     dialogues = said.groupBy("id").agg(F.min_by("text", F.struct("path", "n")).alias("text"))
-    return Project(objects=objects, events=events, rooms=rooms, room_instances=listed.union(told), scripts=scripts, sprites=resources("sprites"), sounds=resources("sounds"), fonts=resources("fonts"), dialogues=dialogues)
+    made = {"objects": objects, "events": events, "rooms": rooms, "room_instances": listed.union(told), "scripts": scripts, "dialogues": dialogues}
+    return Project(**{name: cut(rows) for name, rows in made.items()}, sprites=resources("sprites"), sounds=resources("sounds"), fonts=resources("fonts"))

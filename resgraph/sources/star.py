@@ -61,12 +61,12 @@ def _swap(sql: str, names: dict[str, str]) -> str:
 
 
 def star_game(spark: SparkSession, sf_dir: str) -> Game:
-    """The package that the star tables stand for; its relations are kept, as every query joins them again."""
+    """The package that the star tables stand for; its relations are views, and what resolution reads often is cut there."""
     known = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _STAR}
     for name, sql in PROJECTION.items():
         used = [n for n in known if re.search(rf"(FROM|JOIN) {n}\b", sql)]
         text = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in known else m[0], _swap(sql, _SPARK))
-        known[name] = spark.sql(text, **{n: known[n] for n in used}).persist()
+        known[name] = spark.sql(text, **{n: known[n] for n in used})
     return Game(**{name: known[name] for name in PROJECTION})
 
 
