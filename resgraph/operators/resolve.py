@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,22 +25,30 @@ def last_by_name(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max("id").alias("id"))
 
 
+def kept(game: Game, name: str, make: Callable[[Game], DataFrame]) -> DataFrame:
+    """make(game) as a table written when it is first asked for."""
+    if name not in game.__dict__:
+        game.__dict__[name] = cut(make(game))
+    return game.__dict__[name]
+
+
 def looked(game: Game) -> DataFrame:
     """instructions with the results of all look-backs, by one join and one sort, written once for all rules that read them.
 
     arg4 and arg7 (opcode, value_int, value_str) are the nearest of the 4 and 7 instructions before that aren't passed over;
     room_id is the room that the nearest of the 14 before that pushes a room's name names.
     """
-    if "_looked" not in game.__dict__:
-        rooms = last_by_name(game.rooms).select(F.col("name").alias("r_name"), F.col("id").alias("pushed_room"))
-        names_room = (F.col("opcode") == "PUSHSTR") & (F.col("value_str_id") >= 0) & (F.col("value_str") == F.col("r_name"))
-        rows = game.instructions.join(rooms, names_room, "left")
-        w = Window.partitionBy("code_id").orderBy("pos")
-        shown = F.when(~F.col("opcode").isin(*PASSED_OVER), F.struct("opcode", "value_int", "value_str"))
-        args = [F.last(shown, ignorenulls=True).over(w.rowsBetween(-k, -1)).alias(f"arg{k}") for k in (4, 7)]
-        rows = rows.select(*game.instructions.columns, *args, F.last("pushed_room", ignorenulls=True).over(w.rowsBetween(-14, -1)).alias("room_id"))
-        game.__dict__["_looked"] = cut(rows)
-    return game.__dict__["_looked"]
+    return kept(game, "_looked", _looked)
+
+
+def _looked(game: Game) -> DataFrame:
+    rooms = last_by_name(game.rooms).select(F.col("name").alias("r_name"), F.col("id").alias("pushed_room"))
+    names_room = (F.col("opcode") == "PUSHSTR") & (F.col("value_str_id") >= 0) & (F.col("value_str") == F.col("r_name"))
+    rows = game.instructions.join(rooms, names_room, "left")
+    w = Window.partitionBy("code_id").orderBy("pos")
+    shown = F.when(~F.col("opcode").isin(*PASSED_OVER), F.struct("opcode", "value_int", "value_str"))
+    args = [F.last(shown, ignorenulls=True).over(w.rowsBetween(-k, -1)).alias(f"arg{k}") for k in (4, 7)]
+    return rows.select(*game.instructions.columns, *args, F.last("pushed_room", ignorenulls=True).over(w.rowsBetween(-14, -1)).alias("room_id"))
 
 
 def look_back(game: Game, k: int) -> DataFrame:
@@ -48,6 +58,10 @@ def look_back(game: Game, k: int) -> DataFrame:
 
 def owners(game: Game) -> DataFrame:
     """(code_id, owner, owner_type, object_id): who owns each code entry by the form of its name."""
+    return kept(game, "_owners", _owners)
+
+
+def _owners(game: Game) -> DataFrame:
     words = "|".join(sorted(EVENT_TYPES, key=len, reverse=True))
     form = f"(?s)^gml_Object_(.*)_({words})_(.*)$"
     name = F.col("name")
@@ -112,13 +126,17 @@ def function_classes(functions: DataFrame) -> DataFrame:
     return functions.where("name <> ''").select(F.col("id").alias("func_id"), F.col("name").alias("func_name"), *[has(p).alias(c) for c, p in FUNCTION_CLASSES.items()], flag.alias("flag"))
 
 
+def flag_index(arg: Column) -> Column:
+    """The constant that an argument pushes; -1 where it isn't one."""
+    index = F.when(arg["opcode"] == "PUSHI", arg["value_int"]).when(arg["opcode"] == "PUSHSTR", F.trim(arg["value_str"]).try_cast("long"))
+    return F.coalesce(index, F.lit(-1)).cast("long")
+
+
 def flag_uses(game: Game) -> DataFrame:
     """(code_id, pos, flag, access): calls of flag functions; flag is -1 where the index isn't a constant."""
     seen = look_back(game, 4).where(is_call(F.col("opcode")))
     used = seen.join(function_classes(game.functions).where("flag is not null").select(F.col("func_id").alias("value_func_id"), F.col("flag").alias("access")), "value_func_id")
-    arg = F.col("arg")
-    index = F.when(arg["opcode"] == "PUSHI", arg["value_int"]).when(arg["opcode"] == "PUSHSTR", F.trim(arg["value_str"]).try_cast("long"))
-    return used.select("code_id", "pos", F.coalesce(index, F.lit(-1)).cast("long").alias("flag"), "access")
+    return used.select("code_id", "pos", flag_index(F.col("arg")).alias("flag"), "access")
 
 
 def room_transitions(game: Game) -> DataFrame:

@@ -24,13 +24,14 @@ def _rule(rows: DataFrame, src: Column, dst: Column, relation: str | Column, num
 def build_edges(game: Game) -> DataFrame:
     """All edges, one select for each rule; duplicates stay, as degrees count them."""
     o_ids = game.objects.select(F.col("id").alias("o_id"))
-    c_ids = game.code.select(F.col("id").alias("c_id"))
+    c_ids = resolve.owners(game).select(F.col("code_id").alias("c_id"))  # one row a code entry
+    instances = resolve.kept(game, "_instances", lambda g: g.instances)
     inst, code = F.col("instance_id"), node("code", "code_id")
-    coded = game.instances.join(c_ids, (F.col("creation_code_id") >= 0) & (F.col("creation_code_id") == F.col("c_id")))
+    coded = instances.join(c_ids, (F.col("creation_code_id") >= 0) & (F.col("creation_code_id") == F.col("c_id")))
     own = resolve.owners(game)
     out = [
-        _rule(game.instances, node("room", "room_id"), node("instance", "instance_id"), "contains", 1, inst),
-        _rule(game.instances.join(o_ids, F.col("object_id") == F.col("o_id"), "left_semi"), node("instance", "instance_id"), node("object", "object_id"), "is_instance_of", 2, inst),
+        _rule(instances, node("room", "room_id"), node("instance", "instance_id"), "contains", 1, inst),
+        _rule(instances.join(o_ids, F.col("object_id") == F.col("o_id"), "left_semi"), node("instance", "instance_id"), node("object", "object_id"), "is_instance_of", 2, inst),
         _rule(coded, node("instance", "instance_id"), node("code", "c_id"), "has_creation_code", 3, inst),
         _rule(coded, node("code", "c_id"), node("object", "object_id"), "creates", 4, inst),
         _rule(game.rooms.join(c_ids, F.col("creation_code_id") == F.col("c_id")), node("room", "id"), node("code", "c_id"), "has_creation_code", 5, F.col("id")),
@@ -43,55 +44,62 @@ def build_edges(game: Game) -> DataFrame:
     for kind, prefix in ((OWNER_GLOBAL, "global_"), (OWNER_SEQUENCE, "seq_"), (OWNER_TIMELINE, "timeline_")):
         out.append(_rule(own.where(F.col("owner_type") == kind), F.concat(F.lit(prefix), label), code, "owns", 10, F.col("code_id")))
     out.append(_rule(resolve.entry_points(game), node("function", "func_id"), code, "entry_point", 11, F.col("func_id")))
-    made = resolve.calls(game)
-    out.append(_rule(made.where("callee is not null").select("caller", "callee").distinct(), node("code", "caller"), node("code", "callee"), "calls", 12))
-    out.append(_rule(made.where("callee is null"), node("code", "caller"), node("function", "func_id"), "calls_function", 13, F.col("pos")))
-    uses = resolve.flag_uses(game)
-    out.append(_rule(uses, code, node("flag", "flag"), F.when(F.col("access") == "write", "writes_flag").otherwise("reads_flag"), 14, F.col("pos")))
-    out += _transition_edges(game) + _bytecode_edges(game)
-    return reduce(DataFrame.unionByName, out)
-
-
-def _transition_edges(game: Game) -> list[DataFrame]:
-    """Rooms reached by code hang from the room of least id; without any, rooms that share an object hang together."""
-    moves = resolve.room_transitions(game)
-    first = game.rooms.agg(F.min("id").alias("first_room"))
-    shared = game.instances.where("object_id >= 0").select("object_id", "room_id").distinct()
+    out.append(_rule(resolve.calls(game).where("callee is not null").select("caller", "callee").distinct(), node("code", "caller"), node("code", "callee"), "calls", 12))
+    # without any transition by code, rooms that share an object hang together; none is one row at most and gates this
+    shared = instances.where("object_id >= 0").select("object_id", "room_id").distinct()
     low = shared.groupBy("object_id").agg(F.min("room_id").alias("low"))
     stars = shared.join(low, "object_id").where("room_id <> low")
-    none = moves.agg(F.count("*").alias("n")).where("n = 0")
-    # first and none are one row at most, so these joins only add a column or gate the fallback
-    return [
-        _rule(moves.join(F.broadcast(first)), node("room", "first_room"), node("room", "room_id"), "connected_to", 15, F.col("pos")),
-        _rule(moves, node("code", "code_id"), node("room", "room_id"), "connected_to", 16, F.col("pos")),
-        _rule(stars.join(F.broadcast(none), F.lit(True), "left_semi"), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")),
-    ]
-
-
-def _bytecode_edges(game: Game) -> list[DataFrame]:
-    i = resolve.looked(game)
-    code, pos = node("code", "code_id"), F.col("pos")
-    ids = game.objects.select(F.col("id").alias("o_id"))
-    direct = i.where(F.col("opcode").isin("INSTANTIATE", "PUSHI")).join(ids, F.col("value_int") == F.col("o_id"))
-    seen = resolve.look_back(game, 7)
-    called = seen.where(resolve.is_call(F.col("opcode"))).join(resolve.function_classes(game.functions), F.col("value_func_id") == F.col("func_id"), "left")
-    makes = F.coalesce(F.col("creation") | F.col("execute"), F.lit(False))
-    within = seen.where("opcode = 'WITH' and arg.opcode = 'PUSHI'").join(ids, F.col("arg.value_int") == F.col("o_id"))
-    pushed = i.where("opcode = 'PUSHSTR' and value_str_id >= 0")
-    named = reduce(DataFrame.union, [resolve.last_by_name(rows).select("name", F.lit(rank).alias("rank"), node(kind, "id").alias("target"), F.lit(relation).alias("as")) for rank, (kind, rows, relation) in enumerate((("object", game.objects, "references"), ("sound", game.sounds, "references_sound"), ("room", game.rooms, "references")))])
-    best = named.groupBy("name").agg(F.min(F.struct("rank", "target", "as")).alias("best"))
-    by_name = pushed.join(best, F.col("value_str") == F.col("name"))
-    return [
-        _rule(direct.where("opcode = 'INSTANTIATE'"), code, node("object", "o_id"), "creates", 18, pos),
-        _rule(resolve.object_arguments(game, called.where(makes)), code, node("object", "object_id"), "creates", 19, pos),
-        _rule(resolve.named_arguments(called.where("asset"), game.objects), code, node("object", "target_id"), "asset_get_index_ref", 20, pos),
-        _rule(resolve.named_arguments(called.where("sound"), game.sounds), code, node("sound", "target_id"), "references_sound", 21, pos),
-        _rule(resolve.named_arguments(called.where(~makes), game.rooms), code, node("room", "target_id"), "connected_to", 22, pos),
-        _rule(within, code, node("object", "o_id"), "with_reference", 23, pos),
-        _rule(direct.where("opcode = 'PUSHI'"), code, node("object", "o_id"), "references_object", 24, pos),
-        _rule(by_name, code, F.col("best.target"), F.col("best.as"), 25, pos),
-        _rule(pushed.join(game.strings.select(F.col("id").alias("value_str_id")), "value_str_id", "left_semi"), code, node("string", "value_str_id"), "references", 26, pos),
+    none = resolve.room_transitions(game).agg(F.count("*").alias("n")).where("n = 0")
+    out.append(_rule(stars.join(F.broadcast(none), F.lit(True), "left_semi"), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")))
+    return reduce(DataFrame.unionByName, [*out, _instruction_edges(game)])
+
+
+def _instruction_edges(game: Game) -> DataFrame:
+    """Edges of single instructions, all by one pass: joins to maps of ids and names, then an array of what each row gives.
+
+    Each map has one row a key, so rows stay as many; a map beyond the size that Spark broadcasts is joined by its key,
+    and rows without the key, however many, are split by the adaptive skew join.
+    """
+    classes = resolve.function_classes(game.functions)
+    functions = game.functions.select(F.col("id").alias("f_id")).join(classes, F.col("f_id") == F.col("func_id"), "left").join(resolve.entry_points(game).select(F.col("func_id").alias("e_id"), F.col("code_id").alias("callee")), F.col("f_id") == F.col("e_id"), "left")
+    kinds = [rows.select("name", F.lit(kind).alias("kind"), "id") for kind, rows in (("object", game.objects), ("sound", game.sounds), ("room", game.rooms))]
+    ids = [F.max(F.when(F.col("kind") == kind, F.col("id"))).alias(kind) for kind in ("object", "sound", "room")]
+    named = reduce(DataFrame.union, kinds).groupBy("name").agg(*ids)  # of several of a name the last
+
+    def names(prefix: str) -> DataFrame:
+        return named.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("name", "object", "sound", "room")])
+
+    op, arg = F.col("opcode"), F.col("arg7")
+    called, pushed = resolve.is_call(op), (op == "PUSHSTR") & (F.col("value_str_id") >= 0)
+    first = game.rooms.agg(F.min("id").alias("first_room"))  # one row
+    rows = resolve.looked(game).join(game.objects.select(F.col("id").alias("o_id")), op.isin("INSTANTIATE", "PUSHI") & (F.col("value_int") == F.col("o_id")), "left")
+    rows = rows.join(game.objects.select(F.col("id").alias("a_id")), (arg["opcode"] == "PUSHI") & (arg["value_int"] == F.col("a_id")), "left")
+    rows = rows.join(names("a"), (arg["opcode"] == "PUSHSTR") & (arg["value_str"] == F.col("a_name")), "left")
+    rows = rows.join(names("p"), pushed & (F.col("value_str") == F.col("p_name")), "left")
+    rows = rows.join(game.strings.select(F.col("id").alias("s_id")), pushed & (F.col("value_str_id") == F.col("s_id")), "left")
+    rows = rows.join(functions, called & (F.col("value_func_id") == F.col("f_id")), "left").join(F.broadcast(first))
+    code, made, made_of = node("code", "code_id"), F.coalesce(F.col("creation") | F.col("execute"), F.lit(False)), F.coalesce("a_id", "a_object")
+    told = F.when(F.col("p_object").isNotNull(), node("object", "p_object")).when(F.col("p_sound").isNotNull(), node("sound", "p_sound")).otherwise(node("room", "p_room"))
+    told_as = F.when(F.col("p_object").isNull() & F.col("p_sound").isNotNull(), "references_sound").otherwise("references")
+    moves = called & F.col("room_id").isNotNull()
+    rules = [
+        (called & F.col("f_id").isNotNull() & F.col("callee").isNull(), code, node("function", "f_id"), F.lit("calls_function"), 13),
+        (called & F.col("flag").isNotNull(), code, node("flag", resolve.flag_index(F.col("arg4"))), F.when(F.col("flag") == "write", "writes_flag").otherwise("reads_flag"), 14),
+        (moves, node("room", "first_room"), node("room", "room_id"), F.lit("connected_to"), 15),
+        (moves, code, node("room", "room_id"), F.lit("connected_to"), 16),
+        ((op == "INSTANTIATE") & F.col("o_id").isNotNull(), code, node("object", "o_id"), F.lit("creates"), 18),
+        (called & made & made_of.isNotNull(), code, node("object", made_of), F.lit("creates"), 19),
+        (called & F.col("asset") & F.col("a_object").isNotNull(), code, node("object", "a_object"), F.lit("asset_get_index_ref"), 20),
+        (called & F.col("sound") & F.col("a_sound").isNotNull(), code, node("sound", "a_sound"), F.lit("references_sound"), 21),
+        (called & ~made & F.col("a_room").isNotNull(), code, node("room", "a_room"), F.lit("connected_to"), 22),
+        ((op == "WITH") & F.col("a_id").isNotNull(), code, node("object", "a_id"), F.lit("with_reference"), 23),
+        ((op == "PUSHI") & F.col("o_id").isNotNull(), code, node("object", "o_id"), F.lit("references_object"), 24),
+        (pushed & F.col("p_name").isNotNull(), code, told, told_as, 25),
+        (pushed & F.col("s_id").isNotNull(), code, node("string", "s_id"), F.lit("references"), 26),
     ]
+    given = F.array(*[F.when(when, F.struct(src.alias("src"), dst.alias("dst"), relation.alias("relation"), F.lit(number).alias("rule"))) for when, src, dst, relation, number in rules])
+    edges = rows.select("pos", F.explode(F.filter(given, lambda e: e.isNotNull())).alias("e"))
+    return edges.select("e.src", "e.dst", "e.relation", "e.rule", F.col("pos").cast("long").alias("seq"))
 
 
 def build_nodes(game: Game) -> DataFrame:
@@ -107,7 +115,7 @@ def build_nodes(game: Game) -> DataFrame:
     out.append(kind(game.code.join(own.select(F.col("code_id").alias("id"), "owner"), "id"), "code", F.col("owner"), F.col("name")))
     out.append(kind(game.functions, "function", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("func_"), F.col("id")))))
     out.append(kind(game.strings, "string", F.substring("value", 1, 60)))
-    out.append(kind(game.instances, "instance", F.lit(None), key="instance_id", x=F.col("x"), y=F.col("y")))
+    out.append(kind(resolve.kept(game, "_instances", lambda g: g.instances), "instance", F.lit(None), key="instance_id", x=F.col("x"), y=F.col("y")))
     out.append(kind(flags, "flag", F.when(F.col("flag") < 0, "flag[?]").otherwise(F.concat(F.lit("flag["), F.col("flag"), F.lit("]"))), key="flag"))
     label = F.expr("substring(owner, instr(owner, '::') + 2)")
     prefix = F.when(F.col("owner_type") == OWNER_GLOBAL, "global").when(F.col("owner_type") == OWNER_SEQUENCE, "seq").otherwise("timeline")
