@@ -1,32 +1,36 @@
 """Embedding near duplicates: a hierarchical navigable small-world graph for each shard, queried by every vector.
 
-Equal vectors are one class (id: the least), and classes are dealt to shards by hash. Each shard's graph (Malkov and
+Equal vectors are one class, and classes are dealt to shards by hash. Each shard's graph (Malkov and
 Yashunin, 2018) is built in one task, in growing batches: a batch searches the graph so far, links to diverse neighbours
 (one that is closer to a chosen neighbour than to the new vector is left out while others remain), and nodes with too
-many links keep their diverse ones. Then blocks of classes query every shard. A query's beam doubles until the beam's
-worst member is below the threshold, so that groups larger than a beam are found whole. Some queries of each block are
-audited against brute force; while their recall is below RECALL the block starts again with a wider beam.
+many links keep their diverse ones. Then all classes query every shard: parts of them stream past a shard's graph, which
+a task loads once. A query's beam doubles until the beam's worst member is below the threshold, so that groups larger than
+a beam are found whole. Before that, some queries of each part are audited against brute force: the beam they start with
+doubles until the mean share of the other vectors that each should find reaches RECALL; where the widest beam misses it,
+the part is compared with the whole shard by matrix products.
 
-Found pairs are verified by cosine in double precision. A task hands back, for its block and shard, the number of links
+Found pairs are verified by cosine in double precision. A task hands back, for its part and shard, the number of links
 of each class and a spanning forest of the links, never the pairs; forests are joined to components.
 
 Vectors that are null, empty, zero, or have null or non-finite components link with nothing; so do vectors of different
-lengths. Repeated rows (same id and vector) count as other vectors. Extra columns aren't read.
+lengths. Repeated rows (same id and vector) count as other vectors; rows of one id with different vectors are vectors of
+their own. Ties don't matter, as links are counted, not ranked. An empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resgraph.llm.common import components, staged
 
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM = 12, 24, 40, 32
-SHARDS, SHARD_ROWS, BLOCK_ROWS = 8, 400_000, 8192
+SHARDS, SHARD_BYTES, PART_ROWS = 8, 200 << 20, 200_000
 AUDITS, RECALL = 24, 0.98
-QUERY_BATCH = 1024
+QUERY_BATCH, PAIR_BATCH = 1024, 256
 
 
 def _dots(vectors: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -211,22 +215,31 @@ class Graph:
         return out
 
 
-def query(graph: Graph, q: np.ndarray, threshold: float, recall: float = RECALL, audits: int = AUDITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query number, node) of cosine >= threshold - 1e-4, with a beam wide enough for the audited queries' recall."""
-    floor = threshold - 1e-4  # dots are in single precision; the caller verifies
+def beam_for(graph: Graph, q: np.ndarray, own: np.ndarray, floor: float, recall: float = RECALL, audits: int = AUDITS) -> int:
+    """A beam wide enough for the audited queries' mean recall; 0 if none is. own: each query's own node, or -1."""
     some = np.unique(np.linspace(0, len(q) - 1, min(audits, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-    truth = [np.flatnonzero(graph.vectors @ v >= floor) for v in q[some]]
+    truth = [np.setdiff1d(np.flatnonzero(graph.vectors @ q[i] >= floor), own[i : i + 1]) for i in some]
+    asked = [(i, t) for i, t in zip(some.tolist(), truth, strict=True) if len(t)]
     beam = BEAM
-    while True:
-        parts = []
-        for i in range(0, len(q), QUERY_BATCH):
-            a, b = graph.within(q[i : i + QUERY_BATCH], floor, beam)
-            parts.append((a + i, b))
-        found_q, found_n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int),) * 2
-        hit = sum(len(np.intersect1d(found_n[found_q == s], t)) for s, t in zip(some.tolist(), truth, strict=True))
-        if hit >= recall * sum(map(len, truth)) or beam >= len(graph.vectors):
-            return found_q, found_n
+    while asked:
+        a, b = graph.within(q[[i for i, _ in asked]], floor, beam)
+        shares = [len(np.intersect1d(b[a == k], t)) / len(t) for k, (_, t) in enumerate(asked)]
+        if sum(shares) >= recall * len(shares):
+            break
+        if beam >= len(graph.vectors):
+            return 0
         beam *= 2
+    return beam
+
+
+def query(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float):
+    """Batches of pairs (query number, node) of cosine >= threshold - 1e-4, which the caller verifies."""
+    floor = threshold - 1e-4  # dots are in single precision
+    beam = beam_for(graph, q, own, floor)
+    for i in range(0, len(q), PAIR_BATCH):
+        part = q[i : i + PAIR_BATCH]
+        a, b = graph.within(part, floor, beam) if beam else np.nonzero(part @ graph.vectors.T >= floor)
+        yield a + i, b
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -234,18 +247,25 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
+class _Forest:
+    """Spanning forest of links told in batches."""
 
-    def find(x: int) -> int:
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[p]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if (u := find(x)) != (v := find(y)):
-            parent[max(u, v)] = min(u, v)
-    return [(x, r) for x in list(parent) if (r := find(x)) != x]
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if (u := self.find(x)) != (v := self.find(y)):
+                self.parent[max(u, v)] = min(u, v)
+
+    def edges(self) -> list[tuple[int, int]]:
+        return [(x, r) for x in list(self.parent) if (r := self.find(x)) != x]
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
@@ -255,26 +275,49 @@ def _build(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _asked(threshold: float):
-    def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"kind": [], "a": [], "b": []}, dtype="int64")
-        if not len(queries) or not len(shards):
-            return empty
-        s = shards.iloc[0]
-        graph, cids, copies = Graph.load(s["graph"]), np.frombuffer(s["cids"], "<i8"), np.frombuffer(s["copies"], "<i8")
-        exact = np.frombuffer(s["exact"], "<f8").reshape(len(cids), -1)
-        exact = exact / np.linalg.norm(exact, axis=1, keepdims=True)
-        queries = queries.sort_values("cid", kind="stable")
-        ids, q = queries["cid"].to_numpy(), _unit(queries["vec"])
-        a, b = query(graph, q.astype(np.float32), threshold)
-        ok = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 50_000]], exact[b[i : i + 50_000]]) >= threshold for i in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
-        a, b = a[ok], b[ok]
-        other = ids[a] != cids[b]
-        a, b = a[other], b[other]
-        links = np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
-        edges = _forest(ids[a], cids[b])
-        some = np.flatnonzero(links)
-        rows = [(0, int(ids[i]), int(links[i])) for i in some] + [(1, x, y) for x, y in edges]
-        return pd.DataFrame(rows, columns=["kind", "a", "b"], dtype="int64") if rows else empty
+    """Rows sorted by (shard, dim, part, kind): the shard's graph, then its queries, streamed; links and forests of each part."""
+
+    def told(shard: dict, ids: np.ndarray, vecs: list[bytes], forest: _Forest) -> list[tuple[int, int, int]]:
+        q = _unit(pd.Series(vecs))
+        cids, exact = shard["cids"], shard["exact"]
+        at = np.minimum(np.searchsorted(cids, ids), len(cids) - 1)
+        own = np.where(cids[at] == ids, at, -1)
+        links = np.zeros(len(ids), np.int64)
+        for a, b in query(shard["graph"], q.astype(np.float32), own, threshold):
+            other = own[a] != b
+            a, b = a[other], b[other]
+            ok = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 50_000]], exact[b[i : i + 50_000]]) >= threshold for i in range(0, len(a), 50_000)] or [np.zeros(0, bool)])
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, weights=shard["copies"][b], minlength=len(ids)).astype(np.int64)
+            forest.add(ids[a], cids[b])
+        return [(0, int(ids[i]), int(links[i])) for i in np.flatnonzero(links)]
+
+    def run(batches):
+        names = ["kind", "a", "b"]
+        shard, now, forest, ids, vecs = None, None, _Forest(), [], []
+
+        def done(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["shard"], row["dim"], row["part"]) != now:
+                    if vecs and shard is not None:
+                        yield done(told(shard, np.array(ids), vecs, forest))
+                    yield done([(1, x, y) for x, y in forest.edges()])
+                    shard, now, forest, ids, vecs = None, (row["shard"], row["dim"], row["part"]), _Forest(), [], []
+                if row["kind"] == 0:
+                    exact = np.frombuffer(row["exact"], "<f8").reshape(-1, row["dim"])
+                    shard = {"graph": Graph.load(row["vec"]), "cids": np.frombuffer(row["cids"], "<i8"), "copies": np.frombuffer(row["copies"], "<i8"), "exact": exact / np.linalg.norm(exact, axis=1, keepdims=True)}
+                elif shard is not None:  # a shard without vectors of this length has no graph
+                    ids.append(row["cid"])
+                    vecs.append(row["vec"])
+                    if len(vecs) >= 8192:
+                        yield done(told(shard, np.array(ids), vecs, forest))
+                        ids, vecs = [], []
+        if vecs and shard is not None:
+            yield done(told(shard, np.array(ids), vecs, forest))
+        yield done([(1, x, y) for x, y in forest.edges()])
 
     return run
 
@@ -285,27 +328,29 @@ def near_vectors(table: DataFrame, id: str = "vec_id", vector: str = "embedding"
     sound = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = table.select(F.col(f"`{id}`").cast("long").alias("id"), F.when(F.coalesce(sound, F.lit(False)), v).alias("v"))
     rows = staged(rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")), "vectors")
-    sums = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
-    classes = staged(sums, "classes")
-    n = classes.count()
-    shards = max(shards, -(-n // SHARD_ROWS))
-    blocks = max(shards, -(-n // BLOCK_ROWS))
-    one = rows.join(classes.select(F.col("cid").alias("id"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "n"), "id").where("h1 = c1 and h2 = c2").dropDuplicates(["id"])
-    spot = F.xxhash64(F.lit("hnsw"), "id")
-    one = one.select(F.col("id").alias("cid"), "n", F.size("v").alias("dim"), F.pmod(spot, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned(spot, 20), F.lit(blocks)).cast("int").alias("block"), _packed("v").alias("vec"))
-    one = staged(one, "unit")
-    built = one.groupBy("shard", "dim").applyInPandas(_build, "shard int, dim int, graph binary, cids binary, copies binary, exact binary")
+    sums = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("v").alias("v"))
+    one = sums.withColumn("cid", F.monotonically_increasing_id()).select("h1", "h2", "low", "n", "cid", F.size("v").alias("dim"), _packed("v").alias("vec"))
+    one = staged(one, "classes")
+    n, size = one.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = max(shards, -(-8 * size // SHARD_BYTES))  # by the bytes of their vectors, so that a graph fits a task
+    parts = max(1, -(-n // PART_ROWS))
+    spot = F.xxhash64(F.lit("hnsw"), "h1", "h2")
+    dealt = one.select("cid", "n", "dim", F.pmod(spot, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned(spot, 20), F.lit(parts)).cast("int").alias("part"), "vec")
+    built = dealt.groupBy("shard", "dim").applyInPandas(_build, "shard int, dim int, graph binary, cids binary, copies binary, exact binary")
     built = staged(built, "graphs")
-    asked = one.select("cid", "dim", "block", "vec", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    every = built.select("shard", "dim", "graph", "cids", "copies", "exact", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = asked.groupBy("shard", "dim", "block").cogroup(every.groupBy("shard", "dim", "block")).applyInPandas(_asked(threshold), "kind int, a long, b long")
-    found = staged(found, "links")
+    none = F.lit(None).cast("binary")
+    by = ("shard", "dim", "part")
+    graphs = built.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("cid"), F.col("graph").alias("vec"), "cids", "copies", "exact")
+    asked = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", "part", F.lit(1).alias("kind"), "cid", "vec", none.alias("cids"), none.alias("copies"), none.alias("exact"))
+    met = graphs.unionByName(asked).repartition(shards * parts, *by).sortWithinPartitions(*by, "kind", "cid")
+    found = staged(met.mapInArrow(_asked(threshold), "kind long, a long, b long"), "links")
     comp = components(found.where("kind = 1").select("a", "b")).toDF("cid", "comp")
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
-    named = staged(classes.join(links, "cid", "left").join(comp, "cid", "left"), "named")
-    out = rows.join(named.select("h1", "h2", "cid", "n", "links", "comp"), ["h1", "h2"], "left")
+    named = staged(one.select("h1", "h2", "low", "cid", "n").join(links, "cid", "left").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "named")
+    least = named.groupBy("comp").agg(F.min("low").alias("component"))
+    out = rows.join(named.join(least, "comp").select("h1", "h2", "n", "links", "component"), ["h1", "h2"], "left")
     has = F.col("v").isNotNull()
-    return out.select("id", F.when(has, F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(has, F.coalesce("comp", "cid")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", F.when(has, F.col("n") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(has & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _packed(name: str):
