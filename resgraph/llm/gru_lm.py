@@ -129,39 +129,54 @@ class Net:
         cand = np.tanh(a[:, 2 * HIDDEN :] + r * gh)
         return cand + z * (h - cand), r, z, cand, gh
 
+    def _softmax(self, a: np.ndarray, at: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the chosen columns of the logits a, which become exps, and the exps' sums."""
+        row = np.arange(len(a))
+        said = a[row, at]
+        if bound > 60:  # states are within (-1, 1), so smaller weights can't overflow
+            top = a.max(axis=1)
+            said -= top
+            a -= top[:, None]
+        np.exp(a, out=a)
+        total = a @ np.ones(a.shape[1], a.dtype)
+        return said - np.log(total), total
+
     def log_prob(self, h: np.ndarray, symbol: np.ndarray, grad: bool = False):
         """Natural log of P(symbol | h); with grad, also the gradients of minus its sum."""
         w, starts = self.w, self.symbols.starts
         cls = self.cls[symbol]
-        a = h @ w["c"] + w["cb"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-        row = np.arange(len(h))
-        out = a[row, cls] - np.log(total)
+        order = np.argsort(cls.astype(np.int16), kind="stable")  # rows of a class lie together
+        h, cls, symbol = h[order], cls[order], symbol[order]
+        a = h @ w["c"]
+        a += w["cb"]
+        said, total = self._softmax(a, cls, float((np.abs(w["c"]).sum(axis=0) + np.abs(w["cb"])).max()))
         g = {}
         if grad:
-            d = e / total[:, None]
-            d[row, cls] -= 1
-            dh = d @ w["c"].T
-            g = {"c": h.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(starts)))
+            a *= (1 / total)[:, None]
+            a[np.arange(len(h)), cls] -= 1
+            dh = a @ w["c"].T
+            g = {"c": h.T @ a, "cb": a.sum(axis=0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
+        sizes = np.abs(w["o"]).sum(axis=1) + np.abs(w["ob"])
+        bounds = np.searchsorted(cls, np.arange(len(starts)))
         for k in np.flatnonzero(np.diff(bounds)):
-            rows, s, t = order[bounds[k] : bounds[k + 1]], starts[k], starts[k + 1]
-            hk = h[rows]
-            a = hk @ w["o"][s:t].T + w["ob"][s:t]
-            a -= a.max(axis=1, keepdims=True)
-            e = np.exp(a)
-            total = e.sum(axis=1)
-            at = np.arange(len(rows))
-            out[rows] += a[at, symbol[rows] - s] - np.log(total)
+            i, j, s, t = bounds[k], bounds[k + 1], starts[k], starts[k + 1]
+            hk, at = h[i:j], symbol[i:j] - s
+            a = hk @ w["o"][s:t].T
+            a += w["ob"][s:t]
+            own, total = self._softmax(a, at, float(sizes[s:t].max()))
+            said[i:j] += own
             if grad:
-                d = e / total[:, None]
-                d[at, symbol[rows] - s] -= 1
-                dh[rows] += d @ w["o"][s:t]
-                g["o"][s:t], g["ob"][s:t] = d.T @ hk, d.sum(axis=0)
-        return (out, dh, g) if grad else out
+                a *= (1 / total)[:, None]
+                a[np.arange(j - i), at] -= 1
+                dh[i:j] += a @ w["o"][s:t]
+                g["o"][s:t], g["ob"][s:t] = a.T @ hk, a.sum(axis=0)
+        out = np.empty_like(said)
+        out[order] = said
+        if not grad:
+            return out
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back, g
 
     def gradients(self, before: np.ndarray, symbol: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of one chunk (streams by positions): mean gradients, the state after it, the mean loss; keep is 0 where a document starts."""
