@@ -30,7 +30,7 @@ from resgraph.llm.common import components, staged
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM = 12, 24, 40, 32
 SHARDS, SHARD_BYTES, PART_ROWS = 8, 200 << 20, 200_000
 AUDITS, RECALL = 24, 0.98
-QUERY_BATCH, PAIR_BATCH = 1024, 256
+QUERY_BATCH, PAIR_BATCH = 1024, 512
 
 
 def _dots(vectors: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
