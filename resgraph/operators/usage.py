@@ -78,3 +78,24 @@ def unused_dialogue(game: Game) -> DataFrame:
     """(string_id, text): pushed strings of more than 3 characters that no dialogue call follows."""
     shown = game.instructions.where("opcode = 'PUSHSTR' and value_str_id >= 0 and length(value_str) > 3").select(F.col("value_str_id").alias("string_id"), F.col("value_str").alias("text")).distinct()
     return shown.join(dialogue_strings(game), "string_id", "left_anti")
+
+
+def dialogue_summary(game: Game) -> DataFrame:
+    """(metric, n): pushed strings of more than 3 characters, those that a dialogue call shows, those that none shows."""
+    shown = game.instructions.where("opcode = 'PUSHSTR' and value_str_id >= 0 and length(value_str) > 3").select(F.col("value_str_id").alias("string_id")).distinct()
+    used = dialogue_strings(game).select("string_id").distinct().withColumn("used", F.lit(1))
+    counts = shown.join(used, "string_id", "full").agg(F.count("*").alias("every"), F.count("used").alias("referenced"))
+    total = shown.agg(F.count("*").alias("total"))
+    both = counts.join(F.broadcast(total))  # one row a side
+    named = F.array(*[F.struct(F.lit(m).alias("metric"), n.alias("n")) for m, n in (("total_dialogue_strings", F.col("total")), ("referenced_strings", F.col("referenced")), ("unused_strings", F.col("every") - F.col("referenced")))])
+    return both.select(F.explode(named).alias("m")).select("m.metric", "m.n")
+
+
+def creators(game: Game) -> DataFrame:
+    """(object_id, code_id): each code entry that creates the object by opcode or by a creating function, once."""
+    ids = game.objects.select(F.col("id").alias("object_id"))
+    made = resolve.looked(game).where("opcode = 'INSTANTIATE'").join(ids, F.col("value_int") == F.col("object_id")).select("object_id", "code_id")
+    classes = resolve.function_classes(game.functions).where("creation or execute")
+    seen = resolve.look_back(game, 7).where(resolve.is_call(F.col("opcode"))).join(classes, F.col("value_func_id") == F.col("func_id"))
+    named = (F.col("arg.opcode") != "PUSHSTR") | F.col("arg.value_str").rlike("^(obj_|_)")
+    return made.union(resolve.object_arguments(game, seen.where(named)).select("object_id", "code_id")).distinct()

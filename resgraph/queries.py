@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resgraph.operators import resolve, usage, validate
+from resgraph.functions.opcodes import GROUPS, in_group
+from resgraph.operators import detail, resolve, usage, validate
 from resgraph.operators.queries import Engine
 from resgraph.plans import graph as g
-from resgraph.schema import EVENT_TYPES, FUNCTION_CLASSES, SUSPICIOUS_NAMES
+from resgraph.schema import EVENT_NAMES, EVENT_TYPES, FUNCTION_CLASSES, SUSPICIOUS_NAMES
 from resgraph.sources.star import duck_ctes, star_game
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,7 +171,10 @@ p AS (SELECT [src, dst] AS path FROM v WHERE dst >= src UNION ALL SELECT list_ap
 SELECT (len(path) - 1)::INT AS length, array_to_string(path, ' > ') AS cycle FROM p WHERE path[1] = list_last(path)""")(_of(lambda e: g.cycles(e.graph.edges.where("relation = 'collision_reference'"), 3)))
 
 
-@_query("shortest_path", None)
+@_query("shortest_path", GRAPH + """, d AS (SELECT 'room_0' AS node_id, 0 AS dist UNION SELECT v.dst, dist + 1 FROM d JOIN simple v ON v.src = d.node_id WHERE dist < 8),
+near AS (SELECT node_id, min(dist) AS dist FROM d GROUP BY 1), back AS (SELECT 'spr_9' AS node_id, (SELECT dist FROM near WHERE node_id = 'spr_9') AS dist
+  UNION ALL SELECT (SELECT min(v.src) FROM simple v JOIN near n ON n.node_id = v.src AND n.dist = b.dist - 1 WHERE v.dst = b.node_id), b.dist - 1 FROM back b WHERE b.dist > 0)
+SELECT dist::INT AS step, node_id FROM back WHERE dist IS NOT NULL""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark, sf_dir)
     path = g.shortest_path(e.graph.edges, "room_0", "spr_9")
@@ -233,3 +237,51 @@ _query("validation", GRAPH + """, i AS (SELECT 'objects' AS category, 'error' AS
   UNION ALL SELECT 'usage', 'info' FROM objects WHERE sprite_index < 0
   UNION ALL SELECT 'flags', 'warning' FROM (SELECT flag FROM uses WHERE flag >= 0 GROUP BY flag HAVING count(*) FILTER (access = 'write') = 0))
 SELECT category, severity, count(*) AS n FROM i GROUP BY ALL""")(_of(lambda e: validate.totals(validate.validate(e.game).where("category not in ('chunks', 'strings')"))))
+# -- lists, reports and checks -----------------------------------------------------------------------------------------
+_query("opcode_groups", GRAPH + "SELECT opcode, " + ", ".join(f"opcode IN {names!r} AS {group}".replace(",)", ")") for group, names in GROUPS.items()) + ", count(*) AS n FROM instructions GROUP BY opcode")(_of(lambda e: e.game.instructions.groupBy("opcode").agg(F.count("*").alias("n")).select("opcode", *[in_group(F.col("opcode"), group).alias(group) for group in GROUPS], "n")))
+_query("object_lists", GRAPH + """, i AS (SELECT dst, src, relation, coalesce(n.name, src) AS name, rule, seq FROM edges LEFT JOIN nodes n ON n.node_id = src WHERE dst IN (SELECT 'obj_' || id FROM objects)),
+t AS (SELECT 'obj_' || object_id AS node_id, 'placed_in' AS part, r.name AS entry, 1 AS rule, instance_id AS seq FROM instances JOIN rooms r ON r.id = room_id WHERE object_id IN (SELECT id FROM objects)
+  UNION ALL SELECT dst, 'created_by', name || ' (' || src || ')', rule, seq FROM i WHERE relation = 'creates' UNION ALL SELECT dst, 'child', name, rule, seq FROM i WHERE relation = 'inherits'
+  UNION ALL SELECT 'obj_' || object_id, 'event', event_type || ',' || subtype, event_type, subtype FROM object_events UNION ALL SELECT dst, 'incoming', name || ' (' || relation || ')', rule, seq FROM i
+  UNION ALL SELECT src, 'outgoing', coalesce(n.name, dst) || ' (' || relation || ')', rule, seq FROM edges LEFT JOIN nodes n ON n.node_id = dst WHERE src IN (SELECT 'obj_' || id FROM objects))
+SELECT substr(node_id, 5)::BIGINT AS object_id, part, row_number() OVER (PARTITION BY node_id, part ORDER BY rule, seq, entry)::INT AS nth, entry FROM t
+QUALIFY nth <= CASE part WHEN 'event' THEN 30 WHEN 'child' THEN 20 WHEN 'incoming' THEN 15 WHEN 'outgoing' THEN 15 ELSE nth END""")(_of(lambda e: detail.object_lists(e)))
+_query("room_instances", GRAPH + "SELECT room_id, instance_id, coalesce(o.name, '?') AS object, x, y, c.id IS NOT NULL AS has_creation_code FROM instances LEFT JOIN objects o ON o.id = object_id LEFT JOIN code c ON c.id = creation_code_id")(_of(lambda e: detail.room_instances(e)))
+_query("room_lists", GRAPH + """, t AS (SELECT dst AS node_id, 'incoming' AS part, coalesce(n.name, src) || ' (' || relation || ')' AS entry, rule, seq FROM edges LEFT JOIN nodes n ON n.node_id = src WHERE dst IN (SELECT 'room_' || id FROM rooms)
+  UNION ALL SELECT src, 'outgoing', coalesce(n.name, dst) || ' (' || relation || ')', rule, seq FROM edges LEFT JOIN nodes n ON n.node_id = dst WHERE src IN (SELECT 'room_' || id FROM rooms)),
+f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY node_id, part ORDER BY rule, seq, entry) <= 20),
+u AS (SELECT node_id, part, entry, rule, seq FROM f WHERE part = 'incoming' OR rule <> 1
+  UNION ALL SELECT 'room_' || room_id, 'instance', coalesce(o.name, '?') || ' #' || instance_id || ' at ' || x || ',' || y || CASE WHEN c.id IS NOT NULL THEN ' with code' ELSE '' END, 1, instance_id FROM instances LEFT JOIN objects o ON o.id = object_id LEFT JOIN code c ON c.id = creation_code_id)
+SELECT substr(node_id, 6)::BIGINT AS room_id, part, row_number() OVER (PARTITION BY node_id, part ORDER BY rule, seq, entry)::INT AS nth, entry FROM u""")(_of(lambda e: detail.room_lists(e)))
+_named = " ".join(f"WHEN {n} THEN '{name}'" for n, name in enumerate(EVENT_NAMES))
+_query("event_summaries", GRAPH + f"""SELECT object_id, count(*) AS events, bool_or(event_type = 0 AND subtype = 0) AS has_create, bool_or(event_type = 3 AND subtype = 0) AS has_step, bool_or(event_type = 8 AND subtype = 0) AS has_draw, bool_or(event_type = 2) AS has_alarm,
+  string_agg(coalesce(CASE event_type {_named} END, 'EV_' || event_type) || CASE WHEN subtype > 0 THEN '(' || subtype || ')' ELSE '' END, ', ' ORDER BY event_type, subtype) AS summary FROM object_events GROUP BY object_id""")(_of(lambda e: detail.event_summaries(e.game)))
+_owned = {"scripts": 0, "object_events": 1, "room_code": 2, "global_scripts": 3, "sequence_callbacks": 4, "timeline_code": 5, "unknown_code": -1}
+_report = {
+    "objects_loaded": "count(*)::VARCHAR FROM objects", "objects_resolved": "count(*)::VARCHAR FROM objects", "events_total": "count(*)::VARCHAR FROM object_events",
+    "parents_resolved": "count(*) FILTER (parent_index >= 0 AND parent_index IN (SELECT id FROM objects)) || '/' || count(*) FROM objects",
+    "sprites_resolved": "count(*) FILTER (sprite_index >= 0 AND sprite_index IN (SELECT id FROM sprites)) || '/' || count(*) FROM objects",
+    "masks_resolved": "count(*) FILTER (mask_index >= 0 AND mask_index IN (SELECT id FROM sprites)) || '/' || count(*) FROM objects",
+    "room_instances": "count(*)::VARCHAR FROM instances", "room_placements": "count(*)::VARCHAR FROM instances", "room_creation_code": "count(*)::VARCHAR FROM rooms WHERE creation_code_id IN (SELECT id FROM code)",
+    "functions_total": "count(*)::VARCHAR FROM functions", "code_entries_total": "count(*)::VARCHAR FROM code", "code_ownership_resolved": "(SELECT count(*) FROM own) || '/' || count(*) FROM code",
+    "call_nodes": "count(*)::VARCHAR FROM code", "call_edges": "count(*)::VARCHAR FROM (SELECT DISTINCT caller, callee FROM call WHERE callee IS NOT NULL)",
+    "room_nodes": "count(*)::VARCHAR FROM rooms", "room_edges": "count(*)::VARCHAR FROM moves",
+    "broken_script_refs": "count(*)::VARCHAR FROM call WHERE func_id < (SELECT count(*) FROM code) AND func_id NOT IN (SELECT id FROM code)",
+} | {metric: f"count(*)::VARCHAR FROM own WHERE owner_type = {number}" for metric, number in _owned.items()}
+_query("resolver_report", GRAPH + " UNION ALL ".join(f"SELECT '{m}' AS metric, (SELECT {v}) AS value" for m, v in _report.items()))(_of(lambda e: detail.resolver_report(e.game)))
+_query("degree_classes", GRAPH + "SELECT node_id, CASE WHEN in_degree + out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'source' ELSE 'sink' END AS class FROM deg WHERE in_degree = 0 OR out_degree = 0")(_of(lambda e: detail.degree_classes(e)))
+_query("graph_issues", GRAPH + """, vc AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'calls'), vo AS (SELECT DISTINCT src, dst FROM edges WHERE relation IN ('contains', 'is_instance_of', 'uses_sprite', 'inherits', 'placed_in')), vf AS (SELECT DISTINCT src, dst FROM edges WHERE relation IN ('reads_flag', 'writes_flag')),
+z AS (SELECT (SELECT count(*) FROM room_view) AS re, (SELECT count(DISTINCT room_id) FROM moves WHERE room_id IN (SELECT id FROM rooms)) AS rt, (SELECT count(*) FROM moves) AS rm, (SELECT count(*) FROM vc) AS ce, (SELECT count(*) FROM (SELECT DISTINCT caller, callee FROM call WHERE callee IS NOT NULL)) AS cm,
+  (SELECT count(*) FROM vo) AS oe, (SELECT count(*) FROM (SELECT src FROM vo UNION SELECT dst FROM vo)) AS o, (SELECT count(*) FROM vf) AS fe, (SELECT count(*) FROM (SELECT src FROM vf UNION SELECT dst FROM vf)) AS f)
+SELECT 'graph' AS category, 'info' AS severity, 'Object view: ' || o || ' nodes, ' || oe || ' edges' AS message FROM z UNION ALL SELECT 'graph', 'info', 'Flag view: ' || f || ' nodes, ' || fe || ' edges' FROM z
+UNION ALL SELECT 'graph', 'error', 'Room moves were found, none to a room that exists' FROM z WHERE rm > 0 AND rt = 0 UNION ALL SELECT 'graph', 'warning', 'Room view has fewer edges than rooms are moved to: ' || re || ' of ' || rt FROM z WHERE rt > 0 AND re < rt
+UNION ALL SELECT 'graph', 'warning', 'Call view has ' || ce || ' edges, resolution found ' || cm FROM z WHERE ce <> cm""")(_of(lambda e: detail.graph_issues(e)))
+_query("creators", GRAPH + f"""SELECT value_int AS object_id, code_id FROM instructions WHERE opcode = 'INSTANTIATE' AND value_int IN (SELECT id FROM objects)
+UNION SELECT a.oid, a.code_id FROM obj_arg a JOIN fclass c ON c.func_id = a.value_func_id WHERE a.opcode IN {_calls} AND (c.creation OR c."execute") AND (a.arg.op <> 'PUSHSTR' OR regexp_matches(a.arg.s, '^(obj_|_)'))""")(_of(lambda e: usage.creators(e.game)))
+_talk = """, w AS (SELECT code_id, pos, opcode, value_func_id, list(CASE WHEN opcode = 'PUSHSTR' AND value_str_id >= 0 THEN value_str_id END) OVER (PARTITION BY code_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM instructions),
+shown AS (SELECT DISTINCT unnest(list_filter(l, lambda x: x IS NOT NULL)[-3:]) AS string_id FROM w JOIN functions f ON f.id = value_func_id WHERE opcode IN ('CALL', 'CALLV', 'CALLVN') AND contains(lower(f.name), 'dialogue')),
+told AS (SELECT DISTINCT value_str_id AS string_id, value_str AS text FROM instructions WHERE opcode = 'PUSHSTR' AND value_str_id >= 0 AND length(value_str) > 3) """
+_query("unused_dialogue", GRAPH + _talk + "SELECT string_id, text FROM told WHERE string_id NOT IN (SELECT string_id FROM shown)")(_of(lambda e: usage.unused_dialogue(e.game)))
+_query("dialogue_summary", GRAPH + _talk + """SELECT 'total_dialogue_strings' AS metric, count(*) AS n FROM told UNION ALL SELECT 'referenced_strings', count(*) FROM shown
+UNION ALL SELECT 'unused_strings', count(*) FROM told WHERE string_id NOT IN (SELECT string_id FROM shown)""")(_of(lambda e: usage.dialogue_summary(e.game)))
+_query("graph_stats", None)(_of(lambda e: detail.graph_stats(e)))

@@ -35,8 +35,16 @@ EVENT_TYPES = {
     "DrawBegin": 24, "DrawEnd": 25, "DrawGUIBegin": 26, "DrawGUIEnd": 27, "GameStart": 28, "GameEnd": 29, "PreCreate": 30,
 }
 
+#: Names of event types in order of their numbers, from 0 on.
+EVENT_NAMES = (
+    "Create", "Destroy", "Alarm", "Step", "Collision", "Keyboard", "Mouse", "Other", "Draw", "Draw GUI", "Key Release", "Mouse Release", "Key Press",
+    "Mouse Press", "User", "Room Start", "Room End", "Animation End", "Animation Start", "Cleanup", "Step Begin", "Step Middle", "Step End", "Pre Draw",
+    "Draw Begin", "Draw End", "Draw GUI Begin", "Draw GUI End", "Game Start", "Game End",
+)
+
+#: Opcodes that call.
 CALLS = ("CALL", "CALLV", "CALLVN", "NEW_OBJECT")
-#: Opcodes that a backward look for an argument passes over.
+#: Opcodes that a backward look for an argument passes over.
 PASSED_OVER = ("PUSHENV", "POPENV", "PUSHBLTN")
 #: Owner types of code, by the form of its name.
 OWNER_SCRIPT, OWNER_EVENT, OWNER_ROOM, OWNER_GLOBAL, OWNER_SEQUENCE, OWNER_TIMELINE, OWNER_UNKNOWN = 0, 1, 2, 3, 4, 5, -1

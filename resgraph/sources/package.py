@@ -14,14 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resgraph.functions.opcodes import opcode_name
 from resgraph.schema import DDL, Game
 
-#: Opcodes that have operands or that operators look at, by number; all others are OP_<number>.
-OPCODES = {
-    0: "NOP", 1: "PUSHENV", 2: "POPENV", 3: "PUSH", 4: "PUSHLOC", 5: "PUSHGLB", 6: "PUSHBLTN", 7: "PUSHI", 8: "PUSHF", 9: "PUSHSTR", 10: "DUP", 11: "POP",
-    12: "POPZ", 13: "CONV", 14: "CALL", 15: "CALLV", 16: "CALLVN", 17: "IF", 18: "GOTO", 19: "SWITCH", 20: "CASE", 21: "BREAK", 22: "CONTINUE", 23: "EXIT",
-    24: "RET", 46: "INSTANTIATE", 47: "WITH", 59: "NEW_OBJECT",
-}
 #: Bytes after the 6-byte head of an instruction, by opcode; jumps and strings have 4 unused bytes after their operand.
 OPERAND = {1: 4, 2: 4, 3: 4, 4: 4, 5: 4, 6: 4, 7: 4, 8: 8, 9: 8, 14: 4, 15: 4, 16: 4, 17: 8, 18: 8, 46: 4, 59: 4}
 MOST_ENTRIES, MOST_CODE = 100_000, 1 << 20
@@ -98,7 +93,7 @@ def instructions(b: Bytes, begin: int, size: int, table: list[str]) -> Iterator[
         at += 6
         has = OPERAND.get(op, 0) and at + 4 <= begin + size
         value = b.int(at) if has else None
-        name = OPCODES.get(op, f"OP_{op}")
+        name = opcode_name(op)
         said = None
         if name == "PUSHSTR" and has:
             said = table[value] if 0 <= value < len(table) else f"<str_{value}>"

@@ -8,10 +8,11 @@ import pytest
 
 from resgraph.operators.queries import Engine
 from resgraph.sources import package
-from resgraph.sources.package import OPCODES, decode
+from resgraph.functions.opcodes import OPCODES
+from resgraph.sources.package import decode
 from tests.fixture import ROWS
 
-NUMBER = {name: n for n, name in OPCODES.items()}
+NUMBER = {name: n for n, name in enumerate(OPCODES)}
 
 
 def u(*values: int) -> bytes:
