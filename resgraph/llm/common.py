@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resgraph.session import shared_dir
+
 #: ASCII white space: 0x20 and 0x09-0x0D; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 REPO = str(Path(__file__).resolve().parents[2])
@@ -35,19 +36,6 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = sc._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else ""
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="resgraph-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/resgraph-{uuid.uuid4().hex}-{name}"
     _made.append((spark, path))
