@@ -60,15 +60,20 @@ def flag_accesses(units: DataFrame, code: str = "code") -> DataFrame:
     what stands before ends in a single equals sign.
     """
     keep = [F.col(c) for c in units.columns if c != code]
-    # matches may overlap each other's context, so cut the text at each flag and look at both sides of the cut
+    # matches may overlap each other's context, so cut the text at each flag; an access has 14 characters at least, so
+    # two parts on either side hold the 20 characters that count
     parts = F.split(F.col(code), r"(?=global\.flag\s*\[\s*\d+\s*\])")
-    rows = units.withColumn("parts", parts).select(*keep, F.posexplode("parts").alias("n", "part"), F.col("parts"))
-    rows = rows.where(F.col("part").rlike(r"^global\.flag\s*\[\s*\d+\s*\]"))
-    before = F.trim(F.regexp_replace(F.expr("right(array_join(slice(parts, 1, n), ''), 20)"), r"^\s+|\s+$", ""))
-    rest = F.array_join(F.slice("parts", F.col("n") + 1, F.size("parts")), "")
-    after = F.regexp_replace(F.substring(F.regexp_replace(rest, r"^global\.flag\s*\[\s*\d+\s*\]", ""), 1, 20), r"^\s+|\s+$", "")
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get("_parts", i), F.lit(""))
+
+    cut = F.transform("_parts", lambda p, i: F.struct(p.alias("_part"), F.concat(at(i - 2), at(i - 1)).alias("_before"), F.concat(p, at(i + 1), at(i + 2)).alias("_on")))
+    rows = units.withColumn("_parts", parts).select(*keep, F.explode(cut).alias("_cut")).select(*keep, "_cut.*")
+    rows = rows.where(F.col("_part").rlike(r"^global\.flag\s*\[\s*\d+\s*\]"))
+    before = F.regexp_replace(F.right("_before", F.lit(20)), r"^\s+|\s+$", "")
+    after = F.regexp_replace(F.substring(F.regexp_replace("_on", r"^global\.flag\s*\[\s*\d+\s*\]", ""), 1, 20), r"^\s+|\s+$", "")
     writes = (after.startswith("=") & ~after.startswith("==")) | after.rlike(r"^(\+=|-=|\*=|/=|\+\+)") | (before.endswith("=") & ~before.endswith("=="))
-    index = F.regexp_extract("part", r"^global\.flag\s*\[\s*(\d+)\s*\]", 1)
+    index = F.regexp_extract("_part", r"^global\.flag\s*\[\s*(\d+)\s*\]", 1)
     direct = rows.select(*keep, index.alias("target"), writes.alias("is_write"))
     calls = extract(units, "flag_get", "flag_set", code=code).select(*keep, "target", (F.col("what") == "flag_set").alias("is_write"))
     return direct.union(calls).select(*keep, F.col("target").try_cast("long").alias("flag"), "is_write")
@@ -83,8 +88,9 @@ def lines(units: DataFrame, code: str = "code") -> DataFrame:
 
 def next_line(keys: list[str], shown: Column) -> Column:
     """(n, text) of the first later line of a unit where shown holds."""
-    w = Window.partitionBy(*keys).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(shown, F.struct("n", "text")), ignorenulls=True).over(w)
+    # from the last line back the frame only grows, so each line is looked at once
+    w = Window.partitionBy(*keys).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(shown, F.struct("n", "text")), ignorenulls=True).over(w)
 
 
 def level(score: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from resgraph.functions import text as T
 from resgraph.operators.analyzers import DDL, Analyzers, Project
 
@@ -33,3 +38,24 @@ def test_flag_access(spark):
     code = "global.flag[1] = 2; x = global.flag[2]; if (global.flag[3] == 1) {} global.flag[4]++; global.flag[5] += 1; scr_flag_set(6, 1); scr_flag_get(7)"
     got = {r.flag: r.is_write for r in T.flag_accesses(spark.createDataFrame([(code,)], "code string")).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
+
+
+def test_flag_accesses_by_brute_force(spark):
+    pieces = ["global.flag[7]", "global.flag [ 12 ]", "=", "==", " ", "\n", "+=", "x", "++", "value_of_thing", "😀", ";"]
+    draw = random.Random(3)
+    texts = ["", "global.flag[1]", *("".join(draw.choices(pieces, k=40)) for _ in range(60))]
+    want = []
+    for n, text in enumerate(texts):
+        for m in re.finditer(r"global\.flag\s*\[\s*(\d+)\s*\]", text):
+            before, after = text[: m.start()][-20:].strip(), text[m.end() : m.end() + 20].strip()
+            write = (after.startswith("=") and not after.startswith("==")) or after.startswith(("+=", "-=", "*=", "/=", "++")) or (before.endswith("=") and not before.endswith("=="))
+            want.append((n, int(m[1]), write))
+    units = spark.createDataFrame(list(enumerate(texts)), "n int, code string")
+    assert sorted(tuple(r) for r in T.flag_accesses(units).collect()) == sorted(want)
+
+
+def test_next_line(spark):
+    units = spark.createDataFrame([("u", "a\n\nb\n\n\nc"), ("v", "")], "unit string, code string")
+    rows = T.lines(units).withColumn("next", T.next_line(["unit"], F.col("text") != ""))
+    got = {(r.unit, r.n): r.next and tuple(r.next) for r in rows.collect()}
+    assert got == {("u", 1): (3, "b"), ("u", 2): (3, "b"), ("u", 3): (6, "c"), ("u", 4): (6, "c"), ("u", 5): (6, "c"), ("u", 6): None, ("v", 1): None}
