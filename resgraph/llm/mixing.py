@@ -7,7 +7,8 @@ fractions as constraints are left; those are gathered into new blocks, level by
 Its landing problem, at most two small documents, is rounded to the nearest word total.
 
 A null or empty text has size 0; a null source is a source of its own, last in order. A source of size 0 has target 0
-and takes nothing. Repeated rows count as documents of their own. The same rows give the same result in any order.
+and takes nothing. Repeated rows count as documents of their own. The same rows give the same result in any order: blocks
+are salted by id, source and text, so null or repeated ids spread over blocks like others.
 An empty table gives an empty result. Extra columns are left alone.
 """
 
@@ -31,6 +32,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_code(id: str, source: str, text: str) -> Column:
+    """A hash of what the mix knows of a row; it deals rows to blocks and orders them there."""
+    return F.xxhash64(F.lit("mix"), F.col(f"`{id}`").cast("long"), F.col(f"`{source}`"), F.col(f"`{text}`").cast("string"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Target of each source, from one row a source (source, source_size).
 
@@ -115,16 +121,15 @@ def _level(last: bool):
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """(id, size, source_size, target, copies): how often the mix takes each row of docs."""
-    d = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"))
+    """(id, size, source_size, target, copies, code): how often the mix takes each row of docs; code is its row_code."""
+    d = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"), row_code(id, source, text).alias("code"))
     d = staged(d, "sizes")
     sums = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sums.select("source", "source_size"), weights, most).join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = plan.select("source", "source_size", "target", F.ceil(F.col("n") / block).alias("blocks"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"), F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long").alias("part"))
     plan = staged(plan, "plan")
-    code = F.xxhash64(F.lit("mix"), "id")
     rows = d.join(plan.select(F.col("source").alias("s"), "part", "rate", "blocks"), F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.select("id", "size", "part", "blocks", code.alias("code"), (F.col("rate") - F.floor("rate")).alias("pi"))
+    rows = rows.select("id", "size", "part", "blocks", "code", (F.col("rate") - F.floor("rate")).alias("pi"))
     flown = staged(rows.groupBy("part", F.pmod(F.col("code"), F.col("blocks")).alias("b")).applyInPandas(_level(False), FLOWN), "flown")
     done, open_ = [flown.where("pi = 0 or pi = 1")], flown.where("pi > 0 and pi < 1")
     while True:
@@ -140,14 +145,20 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     for more in done[1:]:
         out = out.union(more)
     out = out.join(plan, "part")
-    return out.select("id", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"))
+    return out.select("id", "size", "source_size", "target", (F.floor("rate") + F.col("pi")).cast("long").alias("copies"), "code")
 
 
-def taken(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
-    """docs as the mix takes them: each row as often as its copies say."""
-    name = "_copies_of_row"
-    rows = mix(docs, id=id, **how).groupBy(F.col("id").alias(name)).agg(F.sort_array(F.collect_list("copies")).alias("k"))
-    nth = F.row_number().over(Window.partitionBy(F.col(f"`{id}`")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    joined = docs.withColumn("_nth_of_id", nth).join(rows.withColumnRenamed("k", "_copies"), F.col(f"`{id}`").eqNullSafe(F.col(name)))
-    joined = joined.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.element_at("_copies", F.col("_nth_of_id")).cast("int"))))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+def taken(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """docs as the mix takes them: each row as often as its copies say.
+
+    Rows of one id, source and text share the copies drawn for them, which differ by one at most, in the order of a hash of
+    all their columns.
+    """
+    drawn = mix(docs, id=id, text=text, source=source, **how).groupBy(F.col("id").alias("_mix_id"), F.col("code").alias("_mix_code"))
+    drawn = drawn.agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    held = docs.withColumn("_mix_row", row_code(id, source, text))
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    held = held.withColumn("_mix_nth", F.row_number().over(Window.partitionBy(F.col(f"`{id}`"), "_mix_row").orderBy(order)))
+    held = held.join(drawn, F.col(f"`{id}`").cast("long").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_row") == F.col("_mix_code")))
+    copies = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (F.col("_mix_nth") <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
+    return held.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
