@@ -84,3 +84,19 @@ DDL = {
     "code": "id long, name string, offset long, length long",
     "instructions": "code_id long, pos long, opcode string, value_int long, value_str string, value_str_id long, value_func_id long, value_variable_id long, arg_count int",
 }
+
+#: Columns of the relations that a package tells beside those of a Game, as Spark DDL.
+DETAIL_DDL = {
+    "object_fields": "id long, visible boolean, solid boolean, depth int, persistent boolean, physics boolean",
+    "event_actions": "object_id long, event_type int, subtype int, nth int, lib_id int, action_id int, action_kind int, use_relative boolean, is_question boolean, use_apply_to boolean, exe_type int, action_name int, args_count int, code_id long, who int, relative boolean, is_not boolean",
+    "sprite_fields": "id long, width int, height int, margin_left int, margin_right int, margin_top int, margin_bottom int, bbox_left int, bbox_right int, bbox_top int, bbox_bottom int, transparent boolean, smooth boolean, preload boolean, frame_count int, texture_group int, origin_x int, origin_y int",
+    "sprite_frames": "sprite_id long, nth int, texture_page int, texture_x int, texture_y int, texture_w int, texture_h int, offset_x int, offset_y int, source_x int, source_y int, source_w int, source_h int",
+    "sound_fields": "id long, sound_type int, file string, volume double, pitch double, preload boolean, audio_group int, data_offset int, data_size int",
+    "room_fields": "id long, caption string, colour long, flags long, physics_top long, physics_left long, physics_right long, physics_bottom long, gravity_x double, gravity_y double, meters_per_pixel double",
+    "room_backgrounds": "room_id long, nth int, enabled boolean, foreground boolean, background_id int, x int, y int, tile_x boolean, tile_y boolean, hspeed int, vspeed int, stretch boolean",
+    "room_views": "room_id long, nth int, enabled boolean, x int, y int, width int, height int, port_x int, port_y int, port_w int, port_h int, border_x int, border_y int, speed int, follow_object_id int",
+    "room_layers": "room_id long, nth int, name string, layer_type long, depth int, visible boolean",
+    "instance_fields": "room_id long, instance_id long, scale_x double, scale_y double, image_speed double, image_index int, colour long, rotation double, layer_depth int",
+    "code_fields": "id long, locals int, arguments int",
+    "variable_fields": "id long, variable_kind string, is_array boolean, init_value string",
+}

@@ -9,6 +9,7 @@ import pytest
 from resgraph.operators.queries import Engine
 from resgraph.sources import package
 from resgraph.functions.opcodes import OPCODES
+from resgraph.schema import DDL, DETAIL_DDL
 from resgraph.sources.package import decode
 from tests.fixture import ROWS
 
@@ -109,8 +110,15 @@ def write() -> bytes:
     return out + b"\0" * 16
 
 
+def relations(data: bytes) -> dict[str, list]:
+    got: dict[str, list] = {name: [] for name in DDL | DETAIL_DDL}
+    for name, row in decode(data):
+        got[name].append(row)
+    return got
+
+
 def test_decode():
-    got = decode(write())
+    got = relations(write())
     for name in ("objects", "rooms", "instances", "sprites", "sounds", "functions"):
         assert sorted(got[name]) == sorted(ROWS[name]), name
     assert sorted(got["object_events"]) == sorted(ROWS["object_events"])
@@ -133,3 +141,61 @@ def test_engine_from_file(spark, tmp_path):
     assert engine.unreachable_rooms().collect()[0].name == "room_void"
     assert {r.tag for r in package.chunk_directory(spark, str(path)).collect()} >= {"STRG", "OBJT", "ROOM", "CODE"}
     assert package.strings_like(engine.game.strings, part="NEVER").count() == 1
+
+
+def chunk(data: bytes, tag: str, entry) -> bytes:
+    """data with one more chunk of one entry, which is made from its own place."""
+    raw = entry(len(data) + 16)
+    return data + tag.encode() + u(8 + len(raw), 1, len(data) + 16) + raw
+
+
+def f(*values: float) -> bytes:
+    return struct.pack(f"<{len(values)}f", *values)
+
+
+def test_fields_of_entries(spark, tmp_path):
+    texts = b"FORM" + u(0) + b"STRG" + u(28) + u(1, 0) + u(4) + b"a.ogg"[:4] + b"\0" * 12
+    sprite = u(0, 32, 16, *range(1, 9)) + bytes([1, 0, 1, 0]) + u(2, 7, 3, 4) + u(*range(11)) + u(*range(20, 31)) + b"\0" * 24
+    data = chunk(texts, "SPRT", lambda at: sprite)
+    data = chunk(data, "SOND", lambda at: u(0, 5) + f(0.5) + u(0) + bytes([1, 0, 0, 0]) + u(6, 700, 80) + b"\0" * 16)
+
+    def room(at: int) -> bytes:
+        head = [0, 0, 320, 240, 30, 1, 255, 0, -1, 3, at + 96, at + 144, at + 208, *[0] * 9, at + 264, 0]
+        background = u(1, at + 104) + bytes([1, 0, 0, 0]) + u(9, 10, 11, 1, 0, 2, -2) + bytes([1, 0, 0, 0]) + b"\0" * 4
+        view = u(1, at + 152) + bytes([1, 0, 0, 0]) + u(*range(12)) + b"\0" * 4
+        thing = u(1, at + 216) + u(10, 20, 4, 900, -1) + f(1.5, 2.0, 0.25) + u(3, 77) + f(90.0) + u(0)
+        layer = u(1, at + 272) + u(0, 0, 2, -50, 0, 0, 0, 0, 1, 0, 0, 0, 2, 900, 901)
+        return u(*head) + background + view + thing + layer + b"\0" * 16
+
+    data = chunk(data, "ROOM", room)
+    data = chunk(data, "VARI", lambda at: u(0, 0, 3, 1, 0, 0))
+    data = chunk(data, "CODE", lambda at: u(0, 0, 2 - (0x7FFD << 16), 0, 0)) + b"\0" * 16
+    path = tmp_path / "data.win"
+    path.write_bytes(data)
+    told = {name: [tuple(r)[1:] for r in rows.collect()] for name, rows in package.read_package(spark, str(path)).items()}
+    assert told["sprite_fields"] == [(0, 32, 16, *range(1, 9), True, False, True, 2, 7, 3, 4)]
+    assert sorted(told["sprite_frames"]) == [(0, 0, *range(11)), (0, 1, *range(20, 31))]
+    assert told["sound_fields"] == [(0, 5, "a.og", 0.5, 0.0, True, 6, 700, 80)]
+    assert told["room_backgrounds"] == [(0, 0, True, False, 9, 10, 11, True, False, 2, -2, True)]
+    assert told["room_views"] == [(0, 0, True, *range(12))]
+    assert told["room_layers"] == [(0, 0, "", 2, -50, True)]
+    assert told["instances"] == [(0, 900, 4, 10, 20, -1)] and told["instance_fields"] == [(0, 900, 1.5, 2.0, 0.25, 3, 77, 90.0, -50)]
+    assert told["room_fields"][0][:4] == (0, "", 255, 3)
+    assert told["variable_fields"] == [(0, "BUILTIN", True, "a.og")] and told["code_fields"] == [(0, 2, 3)]
+    strings = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x")], "id long, value string")
+    asked = spark.createDataFrame([(1, "x"), (9, "z")], "key long, text string")
+    assert {r.key: r.value for r in package.string_at(strings, asked, "key").collect()} == {1: "y", 9: "<string_9>"}
+    assert {r.text: r.id for r in package.string_id(strings, asked, "text").collect()} == {"x": 0, "z": -1}
+
+
+def test_actions_and_flags_of_objects():
+    got = relations(write())
+    assert {(r[0], r[1], r[2], r[3], r[13]) for r in got["event_actions"]} == {(o, t, s, 0, c) for o, t, s, c in ROWS["object_events"]}
+    assert got["object_fields"][0] == (0, True, False, 0, False, False)
+
+
+def test_damaged_packages_end_quietly():
+    whole = write()
+    for n in range(8, len(whole), 97):
+        for _ in decode(whole[:n]):
+            pass
