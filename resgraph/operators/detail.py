@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from resgraph.operators import resolve
 from resgraph.operators.queries import Engine
-from resgraph.plans.graph import node, weak_components
+from resgraph.plans.graph import node, room_edges, weak_components
 from resgraph.schema import EVENT_NAMES, Game
+from resgraph.session import cut
 
 #: Entries told of each part; parts not named are told whole.
 MOST = {"event": 30, "child": 20, "incoming": 15, "outgoing": 15}
@@ -54,10 +55,13 @@ def object_lists(e: Engine, name: str | None = None) -> DataFrame:
 
 def room_instances(e: Engine) -> DataFrame:
     """(room_id, instance_id, object, x, y, has_creation_code): object is ? where it doesn't exist."""
-    g = e.game
+    return _room_instances(e.game, e.game.instances, e.game.code)
+
+
+def _room_instances(g: Game, instances: DataFrame, code: DataFrame) -> DataFrame:
     objects = g.objects.select(F.col("id").alias("object_id"), F.col("name").alias("object"))
-    coded = g.code.select(F.col("id").alias("creation_code_id"), F.lit(True).alias("coded"))
-    rows = g.instances.join(objects, "object_id", "left").join(coded, "creation_code_id", "left")
+    coded = code.select(F.col("id").alias("creation_code_id"), F.lit(True).alias("coded"))
+    rows = instances.join(objects, "object_id", "left").join(coded, "creation_code_id", "left")
     return rows.select("room_id", "instance_id", F.coalesce("object", F.lit("?")).alias("object"), "x", "y", F.coalesce("coded", F.lit(False)).alias("has_creation_code"))
 
 
@@ -66,19 +70,48 @@ def room_lists(e: Engine, name: str | None = None) -> DataFrame:
 
     Parts: instance (object, id and place), incoming and outgoing: of the first 20 edges, those that lead to no instance.
     """
-    rooms = e.game.rooms if name is None else e.game.rooms.where(F.col("name") == name).orderBy("id").limit(1)
-    chosen = rooms.select(F.col("id").alias("room_id"), node("room", "id").alias("node_id"))
-    held = room_instances(e).join(chosen, "room_id")
-    placed = held.select("node_id", F.lit("instance").alias("part"), F.concat("object", F.lit(" #"), "instance_id", F.lit(" at "), "x", F.lit(","), "y", F.when(F.col("has_creation_code"), " with code").otherwise("")).alias("entry"), F.lit(1).alias("rule"), F.col("instance_id").cast("long").alias("seq"))
-    edges = _refs(e.graph.incoming(chosen), "incoming").unionByName(_refs(e.graph.outgoing(chosen), "outgoing"))
-    first = _numbered(edges, {"incoming": MOST_OF_ROOM, "outgoing": MOST_OF_ROOM}).where("part = 'incoming' or rule <> 1").drop("nth")
-    told = _numbered(placed.unionByName(first), {}).join(chosen, "node_id").select("room_id", "part", "nth", "entry")
+    g = e.game
+    rooms = g.rooms if name is None else g.rooms.where(F.col("name") == name).orderBy("id").limit(1)
+    chosen = rooms.select(F.col("id").alias("room_id")).distinct()
+    instances = resolve.kept(g, "_instances", lambda g: g.instances)
+    # of all code entries only those that instances name, few as a rule: instances needn't be dealt by code entry
+    code = cut(g.code.join(instances.select(F.col("creation_code_id").alias("id")).distinct(), "id", "left_semi").select("id"))
+    held = _room_instances(g, instances, code).select("room_id", "instance_id", "object", "x", "y", "has_creation_code")
+    # dealt by room before the text is made, as the text is several times as large
+    held = held.repartition("room_id").join(chosen, "room_id", "left_semi")
+    placed = held.select("room_id", F.lit("instance").alias("part"), F.concat("object", F.lit(" #"), "instance_id", F.lit(" at "), "x", F.lit(","), "y", F.when(F.col("has_creation_code"), " with code").otherwise("")).alias("entry"), F.lit(1).alias("rule"), "instance_id")
+    placed = placed.select("room_id", "part", F.row_number().over(Window.partitionBy("room_id").orderBy("instance_id", "entry")).alias("nth"), "entry")
+    told = placed.unionByName(_first_edges(g, chosen, instances))
     if name is None:
         return told
     none = rooms.agg(F.count("*").alias("n")).where("n = 0")
     return told.union(none.select(F.lit(None).cast("long"), F.lit("error"), F.lit(1), F.lit(f"Room '{name}' not found")))
 
 
+def _first_edges(g: Game, chosen: DataFrame, instances: DataFrame) -> DataFrame:
+    """(room_id, part, nth, entry): of the first 20 edges a side of chosen rooms, those that lead to no instance.
+
+    Edges to instances come first of all outgoing ones, so only their number counts: one for each node that has the id.
+    """
+    ranked = F.rank().over(Window.partitionBy("room_id", "part").orderBy("rule", "seq"))
+    near = cut(room_edges(g).join(chosen, "room_id", "left_semi").withColumn("nth", ranked).where(F.col("nth") <= MOST_OF_ROOM).drop("nth"))
+    names = g.rooms.select(F.lit("room").alias("kind"), "id", "name").union(resolve.owners(g).select(F.lit("code"), "code_id", "owner"))
+    other = F.coalesce("name", F.when(F.col("kind") == "room", node("room", "id")).otherwise(node("code", "id")))
+    said = near.join(names, ["kind", "id"], "left").select("room_id", "part", F.concat(other, F.lit(" ("), "relation", F.lit(")")).alias("entry"), "rule", "seq")
+    nth = F.row_number().over(Window.partitionBy("room_id", "part").orderBy("rule", "seq", "entry"))
+    said = said.withColumn("nth", nth).where(F.col("nth") <= MOST_OF_ROOM)
+    out = near.where("part = 'outgoing'").select("room_id").distinct()
+    counts = instances.groupBy("room_id").agg(F.count("*").alias("held")).join(out, "room_id", "left_semi")
+    counts = cut(counts)
+    few = instances.join(counts.where(F.col("held") < MOST_OF_ROOM), "room_id", "left_semi").select("room_id", "instance_id")
+    if counts.where(F.col("held") < MOST_OF_ROOM).take(1):
+        times = instances.join(few.select("instance_id").distinct(), "instance_id", "left_semi").groupBy("instance_id").agg(F.count("*").alias("times"))
+        exact = few.join(times, "instance_id", "left").groupBy("room_id").agg(F.sum(F.coalesce("times", F.lit(1))).alias("held"))
+        counts = counts.where(F.col("held") >= MOST_OF_ROOM).unionByName(exact)
+    fits = (F.col("part") == "incoming") | (F.coalesce("held", F.lit(0)) + F.col("nth") <= MOST_OF_ROOM)
+    return said.join(counts, "room_id", "left").where(fits).select("room_id", "part", "nth", "entry")
+
+
 def event_summaries(game: Game) -> DataFrame:
     """(object_id, events, has_create, has_step, has_draw, has_alarm, summary): events by name, the subtype where it is above 0."""
     kind, sub = F.col("event_type"), F.col("subtype")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resgraph.operators import resolve
-from resgraph.schema import OWNER_GLOBAL, OWNER_SEQUENCE, OWNER_TIMELINE, PREFIX, Game
-from resgraph.session import cut
+from resgraph.schema import OWNER_GLOBAL, OWNER_SEQUENCE, OWNER_TIMELINE, PASSED_OVER, PREFIX, Game
+from resgraph.session import cut, drop
 
 
 def node(kind: str, key: str | Column) -> Column:
@@ -45,13 +45,63 @@ def build_edges(game: Game) -> DataFrame:
         out.append(_rule(own.where(F.col("owner_type") == kind), F.concat(F.lit(prefix), label), code, "owns", 10, F.col("code_id")))
     out.append(_rule(resolve.entry_points(game), node("function", "func_id"), code, "entry_point", 11, F.col("func_id")))
     out.append(_rule(resolve.calls(game).where("callee is not null").select("caller", "callee").distinct(), node("code", "caller"), node("code", "callee"), "calls", 12))
-    # without any transition by code, rooms that share an object hang together; none is one row at most and gates this
+    if not resolve.room_transitions(game).take(1):
+        out.append(_rule(_stars(instances), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")))
+    return reduce(DataFrame.unionByName, [*out, _instruction_edges(game)])
+
+
+def _stars(instances: DataFrame) -> DataFrame:
+    """(object_id, room_id, low): without any transition by code, rooms that share an object hang together."""
     shared = instances.where("object_id >= 0").select("object_id", "room_id").distinct()
     low = shared.groupBy("object_id").agg(F.min("room_id").alias("low"))
-    stars = shared.join(low, "object_id").where("room_id <> low")
-    none = resolve.room_transitions(game).agg(F.count("*").alias("n")).where("n = 0")
-    out.append(_rule(stars.join(F.broadcast(none), F.lit(True), "left_semi"), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")))
-    return reduce(DataFrame.unionByName, [*out, _instruction_edges(game)])
+    return shared.join(low, "object_id").where("room_id <> low")
+
+
+def room_edges(game: Game) -> DataFrame:
+    """(room_id, part, kind, id, relation, rule, seq): build_edges at rooms without those to instances (rule 1), derived alone.
+
+    part is incoming or outgoing; kind (room or code) and id are those of the other end.
+    """
+    told = cut(_room_instructions(game))
+    moves = told.where(F.col("called") & F.col("room_id").isNotNull())
+    made = resolve.function_classes(game.functions).where(F.col("creation") | F.col("execute")).select(F.col("func_id").alias("value_func_id"))
+    c_ids = resolve.owners(game).select(F.col("code_id").alias("c_id"))
+
+    def ends(rows: DataFrame, room: str, part: str, kind: str, other: str, relation: str, number: int, seq: str) -> DataFrame:
+        return rows.select(F.col(room).alias("room_id"), F.lit(part).alias("part"), F.lit(kind).alias("kind"), F.col(other).alias("id"), F.lit(relation).alias("relation"), F.lit(number).alias("rule"), F.col(seq).cast("long").alias("seq"))
+
+    if moves.take(1):
+        number, seq, pairs = 15, "pos", moves.join(F.broadcast(game.rooms.agg(F.min("id").alias("low"))))  # one row
+    else:
+        number, seq, pairs = 17, "object_id", _stars(resolve.kept(game, "_instances", lambda g: g.instances))
+    out = [
+        ends(game.rooms.join(c_ids, F.col("creation_code_id") == F.col("c_id")), "id", "outgoing", "code", "c_id", "has_creation_code", 5, "id"),
+        ends(pairs, "low", "outgoing", "room", "room_id", "connected_to", number, seq),
+        ends(pairs, "room_id", "incoming", "room", "low", "connected_to", number, seq),
+        ends(moves, "room_id", "incoming", "code", "code_id", "connected_to", 16, "pos"),
+        ends(told.where(F.col("called") & F.col("arg_room").isNotNull()).join(made, "value_func_id", "left_anti"), "arg_room", "incoming", "code", "code_id", "connected_to", 22, "pos"),
+        ends(told.where("own_room is not null"), "own_room", "incoming", "code", "code_id", "references", 25, "pos"),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _room_instructions(game: Game) -> DataFrame:
+    """(code_id, pos, value_func_id, called, room_id, arg_room, own_room): instructions that name rooms or look back to one.
+
+    room_id and arg_room are those of looked (room_id and the room that arg7 names); own_room is the room that a listed
+    string names where no object or sound has the name. Names turn into ids before the sort, so that it moves no text.
+    """
+    rooms = resolve.last_by_name(game.rooms).select(F.col("name").alias("r_name"), F.col("id").alias("named"))
+    taken = game.objects.select("id", "name").union(game.sounds.select("id", "name")).where("id is not null").select(F.col("name").alias("r_name"))
+    rooms = rooms.join(rooms.join(taken, "r_name", "left_anti").select("r_name", F.lit(True).alias("alone")), "r_name", "left")
+    op = F.col("opcode")
+    rows = game.instructions.join(rooms, (op == "PUSHSTR") & (F.col("value_str") == F.col("r_name")), "left")
+    listed = F.when(F.col("value_str_id") >= 0, F.col("named"))
+    rows = rows.select("code_id", "pos", "value_func_id", resolve.is_call(op).alias("called"), (~op.isin(*PASSED_OVER)).alias("shown"), "named", listed.alias("listed"), F.when(F.col("alone"), listed).alias("own_room"))
+    w = Window.partitionBy("code_id").orderBy("pos")
+    arg = F.last(F.when(F.col("shown"), F.struct("named")), ignorenulls=True).over(w.rowsBetween(-7, -1))
+    rows = rows.select("code_id", "pos", "value_func_id", "called", F.last("listed", ignorenulls=True).over(w.rowsBetween(-14, -1)).alias("room_id"), arg["named"].alias("arg_room"), "own_room")
+    return rows.where((F.col("called") & (F.col("room_id").isNotNull() | F.col("arg_room").isNotNull())) | F.col("own_room").isNotNull())
 
 
 def _instruction_edges(game: Game) -> DataFrame:

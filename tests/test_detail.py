@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from resgraph.functions.opcodes import GROUPS, OPCODES, catalogue, in_group, opcode_name
 from resgraph.operators import detail, usage
 from resgraph.operators.queries import Engine
+from resgraph.session import cut
 from tests.fixture import tiny_game
 
 
@@ -44,6 +47,62 @@ def test_room_lists(engine):
     assert detail.room_lists(engine, "nowhere").collect()[0].part == "error"
 
 
+def test_room_lists_derive_no_whole_graph(spark):
+    e = Engine(tiny_game(spark))
+    assert detail.room_lists(e).count() > 0
+    assert e._graph is None
+
+
+@pytest.mark.parametrize("moves", [True, False])
+def test_room_lists_against_whole_graph(spark, moves):
+    """Few and many instances, an instance id in two rooms, rooms named by calls, objects and sounds, ties, ids repeated or absent."""
+    many = [(2, 200 + i, i % 7, i, i, 4 if i % 5 == 0 else -1) for i in range(25)] + [(4, 300 + i, 0, 1, 1, 99) for i in range(19)]
+    more = {
+        "instances": [*many, (3, 300, 5, 1, 1, -1), (3, 301, None, 1, 1, -1), (9, 302, 0, 1, 1, -1)],
+        "rooms": [(3, "obj_door", 1, 1, 1, False, 0), (4, "room_four", 1, 1, 1, False, 3), (5, "snd_ok", 1, 1, 1, False, 77), (6, "room_town", 1, 1, 1, False, 0), (7, None, 1, 1, 1, False, 1)],
+    }
+    if moves:
+        said = ["room_town", "obj_door", "snd_ok", "room_four", "nothing", "room_void"]
+        more["functions"] = [(3, "instance_create", 0), (4, "", 0)]
+        more["instructions"] = [row for c in (2, 3, 9) for p in range(10, 100, 3) for row in (
+            (c, p, "PUSHSTR", None, said[p % 6 if c < 9 else (p // 3) % 6], 1 if p % 4 else -1, -1, -1, 0), (c, p + 1, "PUSHBLTN" if p % 2 else "POPZ", None, None, -1, -1, -1, 0), (c, p + 2, "CALL", None, None, -1, p % 5, -1, 0))]
+    else:
+        more["functions"] = more["instructions"] = None
+    e = Engine(tiny_game(spark, **more))
+    got = sorted(tuple(r) for r in detail.room_lists(e).collect())
+    names, rooms = {}, {r.id for r in e.game.rooms.collect()}
+    for r in e.graph.nodes.collect():
+        names.setdefault(r.node_id, []).append(r.name)
+    sides = {}
+    for r in e.graph.edges.collect():
+        for part, at, other in (("incoming", r.dst, r.src), ("outgoing", r.src, r.dst)):
+            for name in names.get(other, [None]):
+                sides.setdefault((at, part), []).append((r.rule, r.seq, f"{name or other} ({r.relation})"))
+    want = []
+    for room in rooms:
+        for part in ("incoming", "outgoing"):
+            first = [x for x in sorted(sides.get((f"room_{room}", part), []))[:20] if part == "incoming" or x[0] != 1]
+            want += [(room, part, n, x[2]) for n, x in enumerate(first, 1)]
+    assert [r for r in got if r[1] != "instance"] == sorted(want)
+    assert {17 in {r.rule for r in e.graph.edges.collect()}} == {not moves}
+    objects, code = {r.id: r.name for r in e.game.objects.collect()}, {r.id for r in e.game.code.collect()}
+    held = {}
+    for r in e.game.instances.collect():
+        held.setdefault(r.room_id, []).append((r.instance_id, f"{objects.get(r.object_id, '?')} #{r.instance_id} at {r.x},{r.y}{' with code' if r.creation_code_id in code else ''}"))
+    assert [r for r in got if r[1] == "instance"] == sorted((room, "instance", n, x[1]) for room, rows in held.items() if room in rooms for n, x in enumerate(sorted(rows), 1))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_summaries_and_creators(engine):
     (row,) = detail.event_summaries(engine.game).collect()
     assert (row.object_id, row.events, row.has_create, row.has_step, row.has_draw, row.has_alarm, row.summary) == (0, 3, True, True, False, False, "Create, Step, Collision(1)")
