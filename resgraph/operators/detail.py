@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resgraph.operators import resolve
 from resgraph.operators.queries import Engine
-from resgraph.plans.graph import node, room_edges, weak_components
+from resgraph.plans.graph import build_links, build_nodes, node, room_edges, weak_components
 from resgraph.schema import EVENT_NAMES, Game
 from resgraph.session import cut
 
@@ -167,11 +167,23 @@ def degree_classes(e: Engine) -> DataFrame:
 
 def graph_stats(e: Engine) -> DataFrame:
     """(metric, n) of the whole graph: nodes, edges, weak components (isolated nodes are one each) and isolated nodes."""
-    graph = e.graph
-    linked = weak_components(graph.edges).agg(F.countDistinct("component").alias("n"))
-    alone = degree_classes(e).where("class = 'isolated'").agg(F.count("*").alias("n"))
-    parts = [("nodes", graph.nodes.agg(F.count("*").alias("n"))), ("edges", graph.edges.agg(F.count("*").alias("n"))), ("components", linked.union(alone).agg(F.sum("n").alias("n"))), ("isolated", alone)]
-    return reduce(DataFrame.union, [rows.select(F.lit(m).alias("metric"), F.col("n").cast("long").alias("n")) for m, rows in parts])
+    graph, game = e.graph, e.graph.game
+    if game is None:
+        nodes, more = graph.nodes, graph.nodes.limit(0)
+        links = cut(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("n")))
+    else:
+        nodes, more = build_nodes(game, instances=False), resolve.kept(game, "_instances", lambda g: g.instances)
+        links = build_links(game)
+    ends = links.select(F.coalesce("src", "dst").alias("src"), F.coalesce("dst", "src").alias("dst")).where("src is not null")
+    linked = weak_components(ends)
+    # each node is there as often as it is told; instances with an id are all linked to something
+    known = nodes.select("node_id").join(linked.select("node_id", F.lit(True).alias("linked")), "node_id", "left")
+    key = "node_id" if game is None else "instance_id"
+    seen = known.select("linked").union(more.select(F.when(F.col(key).isNotNull(), True)))
+    told = seen.agg(F.count("*").alias("nodes"), F.count(F.when(F.col("linked").isNull(), 1)).alias("isolated"))
+    told = told.join(F.broadcast(linked.agg(F.countDistinct("component").alias("groups")))).join(F.broadcast(links.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))))
+    parts = F.array(*[F.struct(F.lit(m).alias("metric"), n.cast("long").alias("n")) for m, n in (("nodes", F.col("nodes")), ("edges", F.col("edges")), ("components", F.col("groups") + F.col("isolated")), ("isolated", F.col("isolated")))])
+    return told.select(F.explode(parts).alias("p")).select("p.metric", "p.n")
 
 
 def graph_issues(e: Engine) -> DataFrame:

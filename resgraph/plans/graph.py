@@ -23,17 +23,30 @@ def _rule(rows: DataFrame, src: Column, dst: Column, relation: str | Column, num
 
 def build_edges(game: Game) -> DataFrame:
     """All edges, one select for each rule; duplicates stay, as degrees count them."""
+    return _placed_edges(game, resolve.kept(game, "_instances", lambda g: g.instances)).unionByName(_other_edges(game))
+
+
+def _placed_edges(game: Game, instances: DataFrame) -> DataFrame:
+    """Edges of instances, rules 1 to 4."""
     o_ids = game.objects.select(F.col("id").alias("o_id"))
     c_ids = resolve.owners(game).select(F.col("code_id").alias("c_id"))  # one row a code entry
-    instances = resolve.kept(game, "_instances", lambda g: g.instances)
-    inst, code = F.col("instance_id"), node("code", "code_id")
+    inst = F.col("instance_id")
     coded = instances.join(c_ids, (F.col("creation_code_id") >= 0) & (F.col("creation_code_id") == F.col("c_id")))
-    own = resolve.owners(game)
     out = [
         _rule(instances, node("room", "room_id"), node("instance", "instance_id"), "contains", 1, inst),
         _rule(instances.join(o_ids, F.col("object_id") == F.col("o_id"), "left_semi"), node("instance", "instance_id"), node("object", "object_id"), "is_instance_of", 2, inst),
         _rule(coded, node("instance", "instance_id"), node("code", "c_id"), "has_creation_code", 3, inst),
         _rule(coded, node("code", "c_id"), node("object", "object_id"), "creates", 4, inst),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _other_edges(game: Game) -> DataFrame:
+    """Edges of all rules from 5 on."""
+    o_ids = game.objects.select(F.col("id").alias("o_id"))
+    own = resolve.owners(game)
+    c_ids, code = own.select(F.col("code_id").alias("c_id")), node("code", "code_id")
+    out = [
         _rule(game.rooms.join(c_ids, F.col("creation_code_id") == F.col("c_id")), node("room", "id"), node("code", "c_id"), "has_creation_code", 5, F.col("id")),
         _rule(game.objects.join(o_ids, (F.col("parent_index") >= 0) & (F.col("parent_index") == F.col("o_id"))), node("object", "id"), node("object", "o_id"), "inherits", 6, F.col("id")),
         _rule(game.objects.join(game.sprites.select(F.col("id").alias("s_id")), (F.col("sprite_index") >= 0) & (F.col("sprite_index") == F.col("s_id"))), node("object", "id"), node("sprite", "s_id"), "uses_sprite", 7, F.col("id")),
@@ -46,7 +59,7 @@ def build_edges(game: Game) -> DataFrame:
     out.append(_rule(resolve.entry_points(game), node("function", "func_id"), code, "entry_point", 11, F.col("func_id")))
     out.append(_rule(resolve.calls(game).where("callee is not null").select("caller", "callee").distinct(), node("code", "caller"), node("code", "callee"), "calls", 12))
     if not resolve.room_transitions(game).take(1):
-        out.append(_rule(_stars(instances), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")))
+        out.append(_rule(_stars(resolve.kept(game, "_instances", lambda g: g.instances)), node("room", "low"), node("room", "room_id"), "connected_to", 17, F.col("object_id")))
     return reduce(DataFrame.unionByName, [*out, _instruction_edges(game)])
 
 
@@ -57,6 +70,47 @@ def _stars(instances: DataFrame) -> DataFrame:
     return shared.join(low, "object_id").where("room_id <> low")
 
 
+def build_links(game: Game) -> DataFrame:
+    """(src, dst, n): pairs that hang together as build_edges has them, with few instances; n sums up to the number of edges.
+
+    An instance is one with its room, so instances that have a room and an id are counted by object, code and room, and their
+    objects are hung to one room each before pairs are told apart. Instances stay nodes where several have one id or the
+    room is null. A null end stands for none.
+    """
+    instances = resolve.kept(game, "_instances", lambda g: g.instances)
+    whole = F.col("room_id").isNotNull() & F.col("instance_id").isNotNull()
+    own_room, held = node("room", "room_id"), instances.where(whole)
+    o_ids = game.objects.select(F.col("id").alias("object_id"))
+    c_ids = resolve.owners(game).select(F.col("code_id").alias("creation_code_id")).where("creation_code_id >= 0")
+
+    def link(rows: DataFrame, src: Column, dst: Column, n: Column) -> DataFrame:
+        return rows.select(src.alias("src"), dst.alias("dst"), n.cast("long").alias("n"))
+
+    def by(*keys: str) -> DataFrame:
+        return held.groupBy(*keys).agg(F.count("*").alias("n"))
+
+    n, none = F.col("n"), F.lit(0)
+    hubs = cut(held.groupBy("object_id").agg(F.count("*").alias("n"), F.min("room_id").alias("hub")).join(o_ids, "object_id", "left_semi"))
+    near = held.select("room_id", "object_id").join(hubs.select("object_id", "hub"), "object_id").where("room_id <> hub").select("room_id", "hub").distinct()
+    out = [
+        link(by("room_id"), own_room, own_room, n),
+        link(hubs, node("room", "hub"), node("object", "object_id"), n),
+        link(near, own_room, node("room", "hub"), none),
+        link(by("creation_code_id", "room_id").join(c_ids, "creation_code_id"), own_room, node("code", "creation_code_id"), n),
+        link(by("creation_code_id", "object_id").join(c_ids, "creation_code_id"), node("code", "creation_code_id"), node("object", "object_id"), n),
+    ]
+    # each is written alone, so that the shuffle files of one are gone before the next
+    out = [cut(rows) for rows in out]
+    shared = cut(instances.groupBy("instance_id").agg(F.count("*").alias("n")).where("n > 1 and instance_id is not null").select("instance_id"))
+    if shared.take(1):
+        out.append(cut(link(held.join(shared, "instance_id", "left_semi"), own_room, node("instance", "instance_id"), none)))
+    odd = instances.where(~whole)
+    if odd.take(1):
+        out.append(cut(link(_placed_edges(game, odd), F.col("src"), F.col("dst"), F.lit(1))))
+    out.append(cut(_other_edges(game).groupBy("src", "dst").agg(F.count("*").alias("n"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def room_edges(game: Game) -> DataFrame:
     """(room_id, part, kind, id, relation, rule, seq): build_edges at rooms without those to instances (rule 1), derived alone.
 
@@ -152,8 +206,8 @@ def _instruction_edges(game: Game) -> DataFrame:
     return edges.select("e.src", "e.dst", "e.relation", "e.rule", F.col("pos").cast("long").alias("seq"))
 
 
-def build_nodes(game: Game) -> DataFrame:
-    """(node_id, type, name, id, raw_name, x, y)."""
+def build_nodes(game: Game, instances: bool = True) -> DataFrame:
+    """(node_id, type, name, id, raw_name, x, y); on request without instances."""
 
     def kind(rows: DataFrame, of: str, name: Column, raw: Column | None = None, key: str = "id", x: Column | None = None, y: Column | None = None) -> DataFrame:
         null = F.lit(None)
@@ -165,7 +219,8 @@ def build_nodes(game: Game) -> DataFrame:
     out.append(kind(game.code.join(own.select(F.col("code_id").alias("id"), "owner"), "id"), "code", F.col("owner"), F.col("name")))
     out.append(kind(game.functions, "function", F.when(F.col("name") != "", F.col("name")).otherwise(F.concat(F.lit("func_"), F.col("id")))))
     out.append(kind(game.strings, "string", F.substring("value", 1, 60)))
-    out.append(kind(resolve.kept(game, "_instances", lambda g: g.instances), "instance", F.lit(None), key="instance_id", x=F.col("x"), y=F.col("y")))
+    if instances:
+        out.append(kind(resolve.kept(game, "_instances", lambda g: g.instances), "instance", F.lit(None), key="instance_id", x=F.col("x"), y=F.col("y")))
     out.append(kind(flags, "flag", F.when(F.col("flag") < 0, "flag[?]").otherwise(F.concat(F.lit("flag["), F.col("flag"), F.lit("]"))), key="flag"))
     label = F.expr("substring(owner, instr(owner, '::') + 2)")
     prefix = F.when(F.col("owner_type") == OWNER_GLOBAL, "global").when(F.col("owner_type") == OWNER_SEQUENCE, "seq").otherwise("timeline")
@@ -198,6 +253,11 @@ class Graph:
             self._edges = cut(build_edges(self._game))
         return self._edges
 
+    @property
+    def game(self) -> Game | None:
+        """The package of a graph whose nodes and edges aren't made yet."""
+        return self._game if self._nodes is None and self._edges is None else None
+
     def find(self, type: str, pattern: str | None = None) -> DataFrame:
         out = self.nodes.where(F.col("type") == type)
         return out if pattern is None else out.where(F.lower("name").contains(pattern.lower()))
@@ -308,7 +368,8 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> list[str]:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(node_id, component): the least node id that each node of edges is connected with."""
-    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = cut(edges.select(ends.alias("e")).select("e.*").distinct())
     comp = cut(both.groupBy(F.col("src").alias("node_id")).agg(F.min("dst").alias("m")).select("node_id", F.least("node_id", "m").alias("component")))
     while True:
         near = both.join(comp.withColumnRenamed("node_id", "dst"), "dst").groupBy(F.col("src").alias("node_id")).agg(F.min("component").alias("m"))
@@ -316,7 +377,10 @@ def weak_components(edges: DataFrame) -> DataFrame:
         # a node's label leads on to that label's own label, which halves long chains
         jump = step.select(F.col("node_id").alias("c"), F.col("c").alias("cc"))
         new = cut(step.join(jump, "c", "left").select("node_id", F.least("c", F.coalesce("cc", "c")).alias("component")))
-        if not new.join(comp.withColumnRenamed("component", "was"), "node_id").where("component <> was").take(1):
+        changed = new.join(comp.withColumnRenamed("component", "was"), "node_id").where("component <> was").take(1)
+        drop(comp)
+        if not changed:
+            drop(both)
             return new
         comp = new
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from resgraph.functions.opcodes import GROUPS, OPCODES, catalogue, in_group, opcode_name
 from resgraph.operators import detail, usage
 from resgraph.operators.queries import Engine
+from resgraph.plans.graph import Graph
 from resgraph.session import cut
 from tests.fixture import tiny_game
 
@@ -134,6 +135,32 @@ def test_degrees_and_graph(engine):
     assert {r.severity for r in detail.graph_issues(engine).collect()} == {"info"}
 
 
+@pytest.mark.parametrize("moves", [True, False])
+def test_graph_stats_against_whole_graph(spark, moves):
+    """Instances that share an id, lack a room or an id, or name objects and code that don't exist; the whole graph isn't made."""
+    more = {
+        "instances": [(7, 700, 3, 1, 1, -1), (8, 700, 5, 1, 1, -1), (9, 901, 4, 1, 1, 77), (10, 902, 999, 1, 1, 2), (11, 903, 999, 1, 1, 2), (12, 904, None, 1, 1, -1), (13, 905, 998, 1, 1, 66),
+            (None, 906, 2, 1, 1, -1), (None, 907, None, 1, 1, -1), (None, 901, 6, 1, 1, -1), (14, None, 7, 1, 1, -1), (None, None, 8, 1, 1, -1), (15, None, 9, 1, 1, 1), (1, 102, 0, 5, 5, -1)],
+        "objects": [(n, f"obj_{n}", -1, -1, -1) for n in range(6, 12)], "rooms": [(n, f"room_{n}", 1, 1, 1, False, -1) for n in range(7, 18)],
+    }
+    if not moves:
+        more["instructions"] = None
+    e = Engine(tiny_game(spark, **more))
+    stats = dict(detail.graph_stats(e).collect())
+    assert e.graph.game is e.game
+    nodes, edges = [r.node_id for r in e.graph.nodes.collect()], [(r.src, r.dst) for r in e.graph.edges.collect()]
+    group = {x: {x} for x in {x for p in edges for x in p} - {None}}
+    for a, b in edges:
+        if a is not None and b is not None and group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    alone = len([x for x in nodes if x not in group])
+    want = {"nodes": len(nodes), "edges": len(edges), "components": len({id(x) for x in group.values()}) + alone, "isolated": alone}
+    assert stats == want and dict(detail.graph_stats(e).collect()) == want  # the second from the graph that is made by now
+    assert dict(detail.graph_stats(Engine(e.game, Graph(e.graph.nodes, e.graph.edges))).collect()) == want
+
+
 def test_empty_package(spark):
     e = Engine(tiny_game(spark, **dict.fromkeys(("objects", "object_events", "rooms", "instances", "code", "instructions"))))
     assert detail.object_lists(e).count() == detail.room_lists(e).count() == detail.event_summaries(e.game).count() == 0
