@@ -8,7 +8,9 @@ document's sums are taken. However common, a token is one entry a block, so no k
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterable
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -45,8 +47,12 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-def pack_tokens(tokens: list[str]) -> bytes:
-    raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+def _raw(token: str | bytes) -> bytes:
+    return token if isinstance(token, bytes) else token.encode("utf-8", "surrogatepass")
+
+
+def pack_tokens(tokens: list[str] | list[bytes]) -> bytes:
+    raw = [_raw(t) for t in tokens]
     sizes = pack(np.array([len(r) for r in raw], np.int64))
     return len(sizes).to_bytes(4, "little") + sizes + _squeeze(b"".join(raw))
 
@@ -65,38 +71,37 @@ def buckets(docs: DataFrame) -> int:
     return max(least, size // BUCKET_BYTES) if size < 1 << 55 else least
 
 
-def blocks(docs: DataFrame, split: Callable[[str], Iterable[str]], n_buckets: int, counted: Callable[[int | None], bool] = lambda i: False, extra: Callable[[str], int] = len, ordered: bool = False) -> DataFrame:
+def blocks(docs: DataFrame, split: Callable[[str], Iterable[str] | Iterable[bytes]], n_buckets: int, counted: Callable[[int | None], bool] = lambda i: False, extra: Callable[[str], int] = len, ordered: bool = False) -> DataFrame:
     """The block table of docs (id long, text string).
 
     Rows with bucket >= 0 hold a block's tokens in it, with how often counted documents have each; the row with bucket -1
     holds the documents: ids, ``extra`` of the text, tokens of each (distinct), token numbers as gaps, frequencies; or, ordered,
-    the tokens of each and their numbers in order of the text.
+    the tokens of each and their numbers in order of the text. ``split`` gives tokens, or their UTF-8 bytes.
     """
 
     def block(part: list[tuple[int | None, str]], number: int) -> pa.RecordBatch:
-        code: dict[str, int] = {}
-        doc, tok = [], []
-        for d, (_, text) in enumerate(part):
-            mine = [code.setdefault(t, len(code)) for t in split(text)]
-            tok.append(np.array(mine, np.int64))
-            doc.append(np.full(len(mine), d, np.int64))
-        names = list(code)
-        where = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) % n_buckets for t in names), np.int64, len(names))
-        order = np.lexsort((np.arange(len(names)), where))
+        code: dict[str | bytes, int] = defaultdict(count().__next__)  # a token's number is how many came before
+        tok = [np.fromiter(map(code.__getitem__, split(text)), np.int64) for _, text in part]
+        sizes = np.array([len(t) for t in tok], np.int64)
+        doc = np.repeat(np.arange(len(part)), sizes)
+        names = [_raw(t) for t in code]
+        where = np.fromiter((xxhash.xxh64_intdigest(t) % n_buckets for t in names), np.int64, len(names))
+        order = np.argsort(where, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
-        key = np.concatenate(doc or [np.zeros(0, np.int64)]) * max(1, len(names))
-        pairs, n = np.unique(key + rank[np.concatenate(tok)] if len(names) else key, return_counts=True)
-        d_of, t_of = np.divmod(pairs, max(1, len(names)))
-        gap = np.diff(t_of, prepend=0)
-        first = np.flatnonzero(np.diff(d_of, prepend=-1))
-        gap[first] = t_of[first]
+        said = rank[np.concatenate(tok)]
         is_counted = np.array([counted(i) for i, _ in part], bool)
-        mass = np.bincount(t_of, weights=n * is_counted[d_of], minlength=len(names)).astype(np.int64)
+        mass = np.bincount(said, weights=is_counted[doc], minlength=len(names)).astype(np.int64)
         bounds = np.searchsorted(where[order], np.arange(n_buckets + 1))
-        counts = [pack(np.bincount(d_of, minlength=len(part))), pack(gap), pack(n)]
         if ordered:
-            counts = [pack(np.array([len(t) for t in tok], np.int64)), pack(rank[np.concatenate(tok)] if len(names) else key)]
+            counts = [pack(sizes), pack(said)]
+        else:
+            pairs, n = np.unique(doc * max(1, len(names)) + said, return_counts=True)
+            d_of, t_of = np.divmod(pairs, max(1, len(names)))
+            gap = np.diff(t_of, prepend=0)
+            first = np.flatnonzero(np.diff(d_of, prepend=-1))
+            gap[first] = t_of[first]
+            counts = [pack(np.bincount(d_of, minlength=len(part))), pack(gap), pack(n)]
         rows = [(number, -1, _head(part, extra), b"".join(len(c).to_bytes(4, "little") + c for c in counts))]
         named = [names[i] for i in order]
         for b in range(n_buckets):

@@ -11,7 +11,7 @@ symbol of the class. Training reads every token of every training document, in R
 workers start from the same weights, lay their documents end to end in streams side by side, and pass over them by
 truncated backpropagation through time with Adam. From one chunk of CHUNK tokens to the next the state is carried on, the
 gradient is not; a document's start clears the state. Workers' weights are averaged by a tree of fixed fan-in. Scoring
-runs over whole documents, all documents of a block side by side, with the state carried from a document's start to its
+runs over whole documents, SIDE of a block side by side, with the state carried from a document's start to its
 end. Documents of more than PIECE tokens are several pieces in training, each from a cleared state; scoring never cuts.
 
 Null and empty texts have the end token only. An empty training set gives N = V = 0 and the network's first weights.
@@ -39,13 +39,14 @@ CHUNK, PIECE = 32, 4096
 ROUNDS, STREAMS, RATE, LEAST_STEPS = 3, 256, 0.01, 30
 WORKER_TOKENS = 1_500_000  # of a round
 FAN_IN = 16
-END = ""
+COLUMNS, ROWS, SIDE = 2048, 16_384, 512  # taken at once: rows of class logits, states whose symbols are scored, documents side by side
+END = b""
 BIT = 12  # of a packed value: symbol below, count above
 
 
-def tokens(text: str) -> list[str]:
+def tokens(text: str) -> list[bytes]:
     raw = text.encode("utf-8", "surrogatepass").lower()  # lowers A-Z alone
-    return [w.decode("utf-8", "surrogatepass") for w in raw.split()] + [END]
+    return [*raw.split(), END]
 
 
 def held_out(id: int | None, mod: int = 7, rest: int = 2) -> bool:
@@ -113,32 +114,42 @@ class Net:
             self.w[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
+    def gates(self, name: str) -> np.ndarray:
+        """Weights to the gates, one block each, as step takes them: the two of a sigmoid with their sign turned."""
+        blocks = self.w[name].reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy()
+        np.negative(blocks[:2], out=blocks[:2])
+        return blocks
+
     def inputs(self) -> np.ndarray:
-        """What each symbol adds to the gates."""
-        return self.w["e"] @ self.w["x"] + self.w["b"]
-
-    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after h with the inputs a, and what its gradient needs."""
-        g = h @ self.w["h"]
-        gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        r, z, gh = gates[:, :HIDDEN], gates[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        cand = np.tanh(a[:, 2 * HIDDEN :] + r * gh)
-        return cand + z * (h - cand), r, z, cand, gh
+        """What each symbol adds to each gate."""
+        return np.matmul(self.w["e"], self.gates("x")) + self.gates("b")
+
+    @staticmethod
+    def step(a: np.ndarray, h: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after h with the inputs a, which become the gates, and what the candidate takes from h."""
+        g = np.matmul(h, by)  # gates lie one behind the other, so that each is whole in memory
+        said = a[:2]
+        said += g[:2]
+        np.exp(said, out=said)
+        said += 1
+        np.reciprocal(said, out=said)
+        cand = a[2]
+        cand += said[0] * g[2]
+        np.tanh(cand, out=cand)
+        new = h - cand
+        new *= said[1]
+        new += cand
+        return new, g[2]
 
     def _softmax(self, a: np.ndarray, at: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities of the chosen columns of the logits a, which become exps, and the exps' sums."""
-        row = np.arange(len(a))
-        said = a[row, at]
+        """Log probabilities of one row of each column of the logits a, which become exps, and the exps' sums."""
+        said = a[at, np.arange(a.shape[1])]
         if bound > 60:  # states are within (-1, 1), so smaller weights can't overflow
-            top = a.max(axis=1)
+            top = a.max(axis=0)
             said -= top
-            a -= top[:, None]
+            a -= top
         np.exp(a, out=a)
-        total = a @ np.ones(a.shape[1], a.dtype)
+        total = np.ones(len(a), a.dtype) @ a
         return said - np.log(total), total
 
     def log_prob(self, h: np.ndarray, symbol: np.ndarray, grad: bool = False):
@@ -146,30 +157,38 @@ class Net:
         w, starts = self.w, self.symbols.starts
         cls = self.cls[symbol]
         order = np.argsort(cls.astype(np.int16), kind="stable")  # rows of a class lie together
-        h, cls, symbol = h[order], cls[order], symbol[order]
-        a = h @ w["c"]
-        a += w["cb"]
-        said, total = self._softmax(a, cls, float((np.abs(w["c"]).sum(axis=0) + np.abs(w["cb"])).max()))
-        g = {}
+        h, cls, symbol = h.take(order, axis=0), cls[order], symbol[order]
+        said, g = np.empty(len(h), h.dtype), {}
         if grad:
-            a *= (1 / total)[:, None]
-            a[np.arange(len(h)), cls] -= 1
-            dh = a @ w["c"].T
-            g = {"c": h.T @ a, "cb": a.sum(axis=0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
+            dh = np.empty_like(h)
+            g = {k: np.zeros_like(w[k]) for k in ("c", "cb", "o", "ob")}
+        bound = float((np.abs(w["c"]).sum(axis=0) + np.abs(w["cb"])).max())
+        for i in range(0, len(h), COLUMNS):
+            at = slice(i, i + COLUMNS)
+            hk, ck = h[at], cls[at]
+            a = w["c"].T @ hk.T  # a column for each row of h, so that whole rows of logits are added and scaled
+            a += w["cb"][:, None]
+            said[at], total = self._softmax(a, ck, bound)
+            if grad:
+                a *= 1 / total
+                a[ck, np.arange(len(ck))] -= 1
+                np.matmul(a.T, w["c"].T, out=dh[at])
+                g["c"] += hk.T @ a.T
+                g["cb"] += a.sum(axis=1)
         sizes = np.abs(w["o"]).sum(axis=1) + np.abs(w["ob"])
         bounds = np.searchsorted(cls, np.arange(len(starts)))
         for k in np.flatnonzero(np.diff(bounds)):
             i, j, s, t = bounds[k], bounds[k + 1], starts[k], starts[k + 1]
             hk, at = h[i:j], symbol[i:j] - s
-            a = hk @ w["o"][s:t].T
-            a += w["ob"][s:t]
+            a = w["o"][s:t] @ hk.T
+            a += w["ob"][s:t, None]
             own, total = self._softmax(a, at, float(sizes[s:t].max()))
             said[i:j] += own
             if grad:
-                a *= (1 / total)[:, None]
-                a[np.arange(j - i), at] -= 1
-                dh[i:j] += a @ w["o"][s:t]
-                g["o"][s:t], g["ob"][s:t] = a.T @ hk, a.sum(axis=0)
+                a *= 1 / total
+                a[at, np.arange(j - i)] -= 1
+                dh[i:j] += a.T @ w["o"][s:t]
+                g["o"][s:t], g["ob"][s:t] = a @ hk, a.sum(axis=1)
         out = np.empty_like(said)
         out[order] = said
         if not grad:
@@ -180,38 +199,52 @@ class Net:
 
     def gradients(self, before: np.ndarray, symbol: np.ndarray, h: np.ndarray, keep: np.ndarray | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of one chunk (streams by positions): mean gradients, the state after it, the mean loss; keep is 0 where a document starts."""
-        w, kept = self.w, []
+        w = self.w
         n, t = symbol.shape
-        inputs = self.inputs()
-        states = np.empty((t, n, HIDDEN), inputs.dtype)
+        inputs, by = self.inputs(), self.gates("h")
+        before = np.ascontiguousarray(before.T)
+        if keep is not None:
+            keep = np.ascontiguousarray(keep.T)[:, :, None]
+        prev, states, gh = (np.empty((t, n, HIDDEN), inputs.dtype) for _ in range(3))
+        gates = np.empty((t, 3, n, HIDDEN), inputs.dtype)
         for k in range(t):
-            if keep is not None:
-                h = h * keep[:, k, None]
-            new, *rest = self.step(inputs[before[:, k]], h)
-            kept.append((h, *rest))
-            states[k] = h = new
+            prev[k] = h if keep is None else h * keep[k]
+            np.take(inputs, before[k], axis=1, out=gates[k], mode="clip")
+            states[k], gh[k] = self.step(gates[k], prev[k], by)
+            h = states[k]
         out, dflat, g = self.log_prob(states.reshape(n * t, HIDDEN), symbol.T.reshape(-1), True)
         d_all = dflat.reshape(t, n, HIDDEN)
-        da, dg = np.empty((t, n, 3 * HIDDEN), inputs.dtype), np.empty((t, n, 3 * HIDDEN), inputs.dtype)
+        turned = w["h"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0).copy()
         dh = np.zeros((n, HIDDEN), inputs.dtype)
-        for k in range(t - 1, -1, -1):
-            prev, r, z, cand, gh = kept[k]
-            dh = dh + d_all[k]
-            dcand = dh * (1 - z) * (1 - cand * cand)
-            da[k, :, :HIDDEN] = dcand * gh * r * (1 - r)
-            da[k, :, HIDDEN : 2 * HIDDEN] = dh * (prev - cand) * z * (1 - z)
-            da[k, :, 2 * HIDDEN :] = dcand
-            dg[k, :, : 2 * HIDDEN] = da[k, :, : 2 * HIDDEN]
-            dg[k, :, 2 * HIDDEN :] = dcand * r
-            dh = dh * z + dg[k] @ w["h"].T
+        for k in range(t - 1, -1, -1):  # gradients take the place of the gates, and those of gh the place of gh
+            dh += d_all[k]
+            (r, z, cand), gk = gates[k], gh[k]
+            rest = 1 - z
+            dz = prev[k] - cand
+            dz *= rest
+            dz *= z
+            dz *= dh
+            cand *= cand
+            dcand = np.subtract(1, cand, out=cand)
+            dcand *= rest
+            dcand *= dh
+            gk *= dcand
+            dr = 1 - r
+            dr *= r
+            dr *= gk
+            np.multiply(dcand, r, out=gk)
+            dh *= z
+            r[:], z[:] = dr, dz
+            dh += r @ turned[0]
+            dh += z @ turned[1]
+            dh += gk @ turned[2]
             if keep is not None:
-                dh *= keep[:, k, None]
-        g["h"] = np.concatenate([x[0] for x in kept]).T @ dg.reshape(n * t, -1)
+                dh *= keep[k]
+        back = prev.transpose(0, 2, 1)
+        g["h"] = np.concatenate([np.matmul(back, x).sum(axis=0) for x in (gates[:, 0], gates[:, 1], gh)], axis=1)
         # gradients of the inputs, summed by symbol, give those of the embedding and its weights
-        by = before.T.reshape(-1)
-        order = np.argsort(by, kind="stable")
-        seen, first = np.unique(by[order], return_index=True)
-        d_in = np.add.reduceat(da.reshape(n * t, -1)[order], first, axis=0)
+        at = np.arange(3 * n * t).reshape(t, 3, n).transpose(0, 2, 1).reshape(-1, 3)
+        seen, d_in = _sums(before.reshape(-1), gates.reshape(-1, HIDDEN), at)
         g["b"], g["x"], g["e"] = d_in.sum(axis=0), w["e"][seen].T @ d_in, np.zeros_like(w["e"])
         g["e"][seen] = d_in @ w["x"].T
         return {k: v / (n * t) for k, v in g.items()}, h, -float(out.mean())
@@ -249,32 +282,52 @@ class Net:
         """Natural log probability of each symbol of documents laid end to end (each at least one symbol)."""
         out = np.zeros(len(symbol))
         order = np.argsort(-lengths, kind="stable")
-        starts = (np.cumsum(lengths) - lengths)[order]
-        sizes = lengths[order]
-        h = np.zeros((len(lengths), HIDDEN), np.float32)
-        inputs = self.inputs()
-        before = np.full(len(lengths), self.start)
-        held, where, total = [], [], 0
-        alive = len(lengths)
-        for t in range(int(sizes[0]) if len(sizes) else 0):
-            while sizes[alive - 1] <= t:
-                alive -= 1
-            h = self.step(inputs[before[:alive]], h[:alive])[0]
-            at = starts[:alive] + t
-            before = symbol[at]
-            held.append(h)
-            where.append(at)
-            total += alive
-            if total >= 50_000:
-                i = np.concatenate(where)
-                out[i] = self.log_prob(np.concatenate(held), symbol[i])
-                held, where, total = [], [], 0
-        if held:
-            i = np.concatenate(where)
-            out[i] = self.log_prob(np.concatenate(held), symbol[i])
+        starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        inputs, by = self.inputs(), self.gates("h")
+        held = np.empty((ROWS + SIDE, HIDDEN), inputs.dtype)
+        where = np.empty(ROWS + SIDE, np.int64)
+        total = 0
+
+        def say() -> None:
+            i = where[:total]
+            out[i] = self.log_prob(held[:total], symbol[i])
+
+        for i in range(0, len(sizes), SIDE):  # documents of like length side by side
+            at, left = starts[i : i + SIDE].copy(), sizes[i : i + SIDE]
+            alive = np.searchsorted(-left, -np.arange(left[0])).tolist()  # documents longer than each position
+            h = np.zeros((len(at), HIDDEN), inputs.dtype)
+            before = np.full(len(at), self.start)
+            for n in alive:
+                if n < len(at):
+                    at, h, before = at[:n], h[:n], before[:n]
+                h = self.step(inputs.take(before, axis=1), h, by)[0]
+                before = symbol.take(at)
+                held[total : total + n], where[total : total + n] = h, at
+                at += 1
+                total += n
+                if total >= ROWS:
+                    say()
+                    total = 0
+        if total:
+            say()
         return out
 
 
+def _sums(key: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each the sum of what it has, the rows numbered in ``at`` side by side."""
+    order = np.argsort(key.astype(np.int16), kind="stable")
+    seen, first, n = np.unique(key[order], return_index=True, return_counts=True)
+    rows = rows.take(at[order], axis=0).reshape(len(key), -1)
+    out = rows[first]
+    few = n <= 8
+    for k in range(1, 8):
+        at = np.flatnonzero(few & (n > k))
+        out[at] += rows[first[at] + k]
+    for i in np.flatnonzero(~few):
+        rows[first[i] : first[i] + n[i]].sum(axis=0, out=out[i])
+    return seen, out
+
+
 def _pieces(start: int, symbols: Symbols):
     """Training pieces of a block: every token of each training document once, PIECE at a time, after the symbol before."""
     once, unseen = int(symbols.band[1]), int(symbols.band[0])
